@@ -112,11 +112,20 @@ asked AS (SELECT client_id, family, round_even(fraction * size, 0)::BIGINT AS k
 running AS (SELECT *, sum(k) OVER (PARTITION BY family ORDER BY client_id) AS upto FROM asked),
 span AS (SELECT client_id, family, least(upto - k, pool) AS low, least(upto, pool) AS high FROM running JOIN pool USING (family)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY md5(concat('{SEED}:', event_id)), event_id) AS rn FROM fam),
+counted AS (
+  SELECT *, high - low AS n, sum(high - low) OVER (PARTITION BY client_id) AS total,
+         sum(high - low) OVER (PARTITION BY client_id ORDER BY family) - (high - low) AS before FROM span),
+picks AS (
+  SELECT client_id, (floor(u * total)::BIGINT + (j * total) // (total - size)) % total AS spot
+  FROM (SELECT DISTINCT client_id, total, size, unnest(range(0, total::BIGINT - size)) AS j,
+               ('0x' || substr(md5(concat('{SEED}:trim:', client_id)), 1, 8))::UBIGINT / 4294967296.0::DOUBLE AS u
+        FROM counted, size WHERE total > size)),
+trimmed AS (
+  SELECT client_id, family, low, high - (SELECT count(*) FROM picks p WHERE p.client_id = c.client_id
+                                         AND spot >= before AND spot < before + n) AS kept
+  FROM counted c),
 dealt AS (SELECT client_id, event_id, family FROM ranked JOIN span USING (family) WHERE rn > low AND rn <= high),
-sized AS (SELECT *, count(*) OVER (PARTITION BY client_id) - size AS extra,
-                 row_number() OVER (PARTITION BY client_id ORDER BY md5(concat('{SEED}:trim:', event_id)), event_id) AS pos
-          FROM dealt, size),
-quota AS (SELECT client_id, event_id, family FROM sized WHERE pos > extra)"""
+quota AS (SELECT client_id, event_id, family FROM ranked JOIN trimmed USING (family) WHERE rn > low AND rn <= kept)"""
 
 
 _FIVE = _quota_sql(_spec_values(partition.FIVE_CLIENTS), "count(*) // 6")
@@ -124,7 +133,7 @@ _FIVE = _quota_sql(_spec_values(partition.FIVE_CLIENTS), "count(*) // 6")
 
 def _fill_sql(order: str = "") -> str:
     return f"""need AS (
-  SELECT client_id, size - sum(high - low) AS need FROM span, size GROUP BY client_id, size HAVING size > sum(high - low)),
+  SELECT client_id, size - sum(kept - low) AS need FROM trimmed, size GROUP BY client_id, size HAVING size > sum(kept - low)),
 slot AS (SELECT client_id, sum(need) OVER (ORDER BY client_id) - need AS low, sum(need) OVER (ORDER BY client_id) AS high FROM need),
 unused AS (
   SELECT event_id, family, row_number() OVER (ORDER BY {order}md5(concat('{SEED}:fill:', event_id)), event_id) AS rn

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from trustframe.functions.labels import binary_label
-from trustframe.operators.materialize import cut_lineage, join_checked
+from trustframe.operators.materialize import join_checked, settle
 from trustframe.operators.order_stats import DIRECT_ROWS, exact_median
 
 # Wide one-hot columns stay readable for the planner up to here; `one_hot_long` has no such bound.
@@ -149,7 +149,7 @@ def fit_features(
     numeric = present_columns(df, numeric)
     encoded: dict[str, tuple[str, list[str]]] = {}
     if categorical:
-        levels = cut_lineage(level_counts(df, categorical))
+        levels = settle(level_counts(df, categorical)).df
         sizes = {r["col"]: r["count"] for r in levels.groupBy("col").count().collect()}
         wide = {name: size for name, size in sizes.items() if size > MAX_LEVELS}
         if wide:
@@ -176,8 +176,8 @@ def one_hot_long(df: DataFrame, row_key: Sequence[str], columns: Sequence[str],
     Rows whose value was not seen at fit time have no entry. The join is an equi join on column and level, and the
     level table is broadcast only when its measured size allows.
     """
-    known = cut_lineage(levels.select("col", "level").distinct())
-    fills = cut_lineage(most_frequent(levels))
+    known = settle(levels.select("col", "level").distinct())
+    fills = settle(most_frequent(levels))
     cells = F.array(*[F.struct(F.lit(name).alias("col"), quoted(name).cast("string").alias("level")) for name in columns])
     long = join_checked(df.select(*row_key, F.inline(cells)), fills, ["col"])
     filled = long.withColumn("level", F.coalesce("level", "fill")).drop("fill")

@@ -1,11 +1,17 @@
-"""Cutting lineage and joining with tables whose size is known only at run time."""
+"""Cutting lineage, and joining with tables whose size is known only at run time."""
 
 from __future__ import annotations
 
 import tempfile
+from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
+# A settled table up to this many rows becomes a literal of the plan; with array columns the limit is lower.
+NARROW_ROWS = 200_000
+ARRAY_ROWS = 500
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
 
 
@@ -28,6 +34,46 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@dataclass(frozen=True)
+class Settled:
+    """A table that was computed once, with the outcome of its size check."""
+
+    df: DataFrame
+    small: bool
+
+    def derive(self, df: DataFrame) -> "Settled":
+        """A table worked out from this one that has no more than a few times its rows."""
+        return Settled(df, self.small)
+
+
+def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Rows of the program itself (lookups, specs) as a local table of the plan."""
+    fields = T._parse_datatype_string(schema)
+    columns = list(zip(*rows)) if rows else [[] for _ in fields]
+    arrays = [pa.array(list(column), type=to_arrow_type(field.dataType)) for column, field in zip(columns, fields)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, names=fields.names), fields)
+
+
+def settle(df: DataFrame, max_rows: int | None = None) -> Settled:
+    """Compute a summary table (limits, means, fitted values) that later stages read several times.
+
+    Up to ``max_rows`` it is held as a literal of the plan, which is what broadcasting it would also do; a larger
+    one is written to the checkpoint folder and broadcast only when its counted size allows.
+    """
+    if max_rows is None:
+        nested = any(isinstance(f.dataType, (T.ArrayType, T.MapType)) for f in df.schema.fields)
+        max_rows = ARRAY_ROWS if nested else NARROW_ROWS
+    head = df.limit(max_rows + 1).toArrow()
+    if head.num_rows <= max_rows:
+        return Settled(df.sparkSession.createDataFrame(head, _nullable(df.schema)), True)
+    written = cut_lineage(df)
+    return Settled(written, measured_bytes(written) <= BROADCAST_LIMIT_BYTES)
+
+
+def _nullable(schema: T.StructType) -> T.StructType:
+    return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
+
+
 def _row_width(df: DataFrame):
     width = F.lit(0)
     for field in df.schema.fields:
@@ -37,26 +83,21 @@ def _row_width(df: DataFrame):
         elif isinstance(field.dataType, T.StringType):
             width = width + F.coalesce(F.octet_length(column), F.lit(0)) + 16
         else:
-            width = width + 8
+            width = width + 16
     return width
 
 
 def measured_bytes(df: DataFrame) -> int:
-    """Size of ``df`` by counting; only for tables that are already materialised."""
+    """Size of an already materialised table, by counting."""
     return int(df.select(F.sum(_row_width(df).cast("long")).alias("bytes")).first()["bytes"] or 0)
 
 
-def join_checked(
-    large: DataFrame,
-    small: DataFrame,
-    on: list[str],
-    how: str = "inner",
-    limit_bytes: int = BROADCAST_LIMIT_BYTES,
-) -> DataFrame:
-    """Join with a materialised table: broadcast when its measured size allows, else a shuffled join.
+def join_checked(large: DataFrame, small: Settled, on: list[str], how: str = "inner") -> DataFrame:
+    """Join with a settled table: broadcast when its size was found to allow it, else a shuffled equi join.
 
-    The shuffled form is an equi join, so adaptive execution splits the partitions of hot keys.
+    Adaptive execution splits the partitions of hot keys in the shuffled form.
     """
-    if measured_bytes(small) <= limit_bytes:
-        small = F.broadcast(small)
-    return large.join(small, on, how) if on else large.crossJoin(small)
+    table = F.broadcast(small.df) if small.small else small.df
+    if on:
+        return large.join(table, on, how)
+    return large.crossJoin(table)

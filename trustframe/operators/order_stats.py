@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from trustframe.operators.materialize import cut_lineage, join_checked
+from trustframe.operators.materialize import Settled, join_checked, settle
 
 DIRECT_ROWS = 1_000_000
 BINS = 4096
@@ -84,25 +84,25 @@ def _select_narrowing(clean: DataFrame, keys: list[str], names: list[str], ranks
     )
     hit = (F.col("_rank") <= F.col("_upto")) & (F.col("_rank") > F.col("_upto") - F.col("_n"))
     found = _join_keys(histogram, targets, keys).where(hit)
-    state = cut_lineage(_narrowed(found, keys))
+    state = settle(_narrowed(found, keys))
 
     # Later passes: equal-width bins inside the surviving interval, until it is short or holds one value.
-    while state.where((F.col("_lo") < F.col("_hi")) & (F.col("_n") > direct_rows)).limit(1).count():
+    while state.df.where((F.col("_lo") < F.col("_hi")) & (F.col("_n") > direct_rows)).limit(1).count():
         is_open = (F.col("_lo") < F.col("_hi")) & (F.col("_n") > direct_rows)
-        closed = state.where(~is_open)
-        opened = state.where(is_open)
-        inside = _inside(clean, opened, keys)
+        closed = state.df.where(~is_open)
+        opened = state.df.where(is_open)
+        inside = _inside(clean, state.derive(opened), keys)
         share = (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
         binned = inside.withColumn("_b", F.least(F.floor(share * BINS), F.lit(BINS - 1)))
         histogram = _histogram(binned, [*keys, "_name"])
         running = Window.partitionBy(*keys, "_name").orderBy("_b")
         histogram = histogram.withColumn("_upto", F.sum("_n").over(running))
         ranked = _join_keys(histogram, opened.select(*keys, "_name", "n", "_rank"), [*keys, "_name"])
-        state = cut_lineage(_narrowed(ranked.where(hit), keys).unionByName(closed))
+        state = settle(_narrowed(ranked.where(hit), keys).unionByName(closed))
 
-    done = state.where(F.col("_lo") == F.col("_hi")).select(*keys, "_name", "n", F.col("_lo").alias("_value"))
-    short = state.where(F.col("_lo") < F.col("_hi"))
-    counted = _inside(clean, short, keys).groupBy(*keys, "_name", "n", "_rank", "_v").agg(
+    done = state.df.where(F.col("_lo") == F.col("_hi")).select(*keys, "_name", "n", F.col("_lo").alias("_value"))
+    short = state.df.where(F.col("_lo") < F.col("_hi"))
+    counted = _inside(clean, state.derive(short), keys).groupBy(*keys, "_name", "n", "_rank", "_v").agg(
         F.count(F.lit(1)).alias("_n")
     )
     running = Window.partitionBy(*keys, "_name").orderBy("_v")
@@ -135,8 +135,8 @@ def _narrowed(found: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def _inside(clean: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame:
-    joined = join_checked(clean, state.drop("_n"), keys)
+def _inside(clean: DataFrame, state: Settled, keys: list[str]) -> DataFrame:
+    joined = join_checked(clean, state.derive(state.df.drop("_n")), keys)
     return joined.where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
 
 

@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from trustframe.functions.hashing import keyed_md5, uniform_from_md5
 from trustframe.functions.scalars import clip, round_half_even
-from trustframe.operators.materialize import cut_lineage, join_checked
-from trustframe.operators.rank import first_k, spread_row_number
+from trustframe.operators.materialize import Settled, join_checked, literal_table, settle
+from trustframe.operators.rank import spread_row_number
 
 # Family shares of each client type, and the order in which types are given to clients.
 SHARES: dict[str, dict[str, float]] = {
@@ -40,7 +40,7 @@ def specs_table(spark: SparkSession, specs: Sequence[tuple[str, dict[str, float]
         for i, (name, shares) in enumerate(specs, start=1)
         for family, fraction in shares.items()
     ]
-    return spark.createDataFrame(rows, SPEC_SCHEMA)
+    return literal_table(spark, rows, SPEC_SCHEMA)
 
 
 def five_client_specs(spark: SparkSession) -> DataFrame:
@@ -58,8 +58,8 @@ def generated_specs(clients: DataFrame, seed: int) -> DataFrame:
         main = max(shares, key=shares.get)
         rest = sum(share for family, share in shares.items() if family != main)
         rows += [(turn, kind, family, share, family == main, shares[main], rest) for family, share in shares.items()]
-    types = clients.sparkSession.createDataFrame(
-        rows, "turn int, kind string, family string, share double, is_main boolean, main double, rest double"
+    types = literal_table(
+        clients.sparkSession, rows, "turn int, kind string, family string, share double, is_main boolean, main double, rest double"
     )
     turn = ((F.col("client_id") - 1) % len(CYCLE)).cast("int")
     draw = uniform_from_md5(keyed_md5(F.col("client_id"), int(seed), "jitter"))
@@ -86,21 +86,40 @@ def make_specs(spark: SparkSession, n_clients: int, seed: int) -> DataFrame:
     return generated_specs(spark.range(1, n_clients + 1).select(F.col("id").cast("int").alias("client_id")), seed)
 
 
-def quota_limits(specs: DataFrame, pools: DataFrame, client_size: int) -> DataFrame:
-    """``(client_id, family, low, high)``: the positions ``low < rn <= high`` of the family pool a client is given.
+def quota_limits(specs: DataFrame, pools: DataFrame, client_size: int, seed: int) -> DataFrame:
+    """``(client_id, family, low, high, top)``: positions ``low < rn <= high`` of the family pool a client is given.
 
-    Sizes are rounded half to even; a pool that runs out gives what it has.
+    Sizes are rounded half to even; a pool that runs out gives what it has. ``top`` is where the next client
+    starts. When rounding takes a client over ``client_size``, rows are removed at random: positions are already
+    shuffled, so removing the last ones of a family is as good as any, and only the families to shrink are drawn
+    (evenly spaced picks over the client's rows from one random start, so each row has the same chance).
     """
     asked = round_half_even(F.col("fraction") * F.lit(float(client_size))).cast("long")
     upto = Window.partitionBy("family").orderBy("client_id")
     running = specs.withColumn("asked", F.greatest(asked, F.lit(0))).withColumn("upto", F.sum("asked").over(upto))
     pool = F.coalesce(F.col("pool"), F.lit(0))
-    return running.join(pools, "family", "left").select(
+    given = running.join(pools, "family", "left").select(
         "client_id",
         "family",
         F.least(F.col("upto") - F.col("asked"), pool).alias("low"),
-        F.least(F.col("upto"), pool).alias("high"),
+        F.least(F.col("upto"), pool).alias("top"),
     )
+    own = Window.partitionBy("client_id")
+    counted = given.withColumn("n", F.col("top") - F.col("low")).withColumns(
+        {
+            "rows": F.sum("n").over(own),
+            "before": F.sum("n").over(own.orderBy("family")) - F.col("n"),
+            "draw": uniform_from_md5(keyed_md5(F.col("client_id"), int(seed), "trim")),
+        }
+    )
+    over = F.greatest(F.col("rows") - F.lit(int(client_size)), F.lit(0))
+    start = F.floor(F.col("draw") * F.col("rows"))
+    picks = F.transform(
+        F.sequence(F.lit(0).cast("long"), over),
+        lambda j: F.pmod(start + F.floor(j * F.col("rows") / F.greatest(over, F.lit(1))), F.col("rows")),
+    )
+    hit = F.size(F.filter(F.slice(picks, F.lit(1), over.cast("int")), lambda at: (at >= F.col("before")) & (at < F.col("before") + F.col("n"))))
+    return counted.select("client_id", "family", "low", (F.col("top") - hit).alias("high"), "top")
 
 
 def fill_limits(limits: DataFrame, client_size: int) -> DataFrame:
@@ -110,58 +129,35 @@ def fill_limits(limits: DataFrame, client_size: int) -> DataFrame:
     return needs.where("need > 0").select("client_id", (upto - F.col("need")).alias("low"), upto.alias("high"))
 
 
-def deal(ranked: DataFrame, limits: DataFrame, keys: list[str], rank: str = "rn") -> DataFrame:
+def deal(ranked: DataFrame, limits: Settled, keys: list[str], rank: str = "rn") -> DataFrame:
     """Give each row the client whose interval holds its position.
 
     Positions are cut into steps of the mean interval width, and intervals are listed under each step they touch
     (at most two entries per interval on average). The join is then an equi join on the step, so the work per row
     does not grow with the number of clients.
     """
-    filled = limits.where("high > low")
+    filled = limits.df.where("high > low")
     steps = filled.groupBy(*keys).agg(
         F.max("high").alias("_top"), F.greatest(F.lit(1), F.ceil(F.max("high") / F.count(F.lit(1)))).alias("_step")
     )
     spans = filled.join(steps.drop("_top"), keys) if keys else filled.crossJoin(steps.drop("_top"))
     touched = F.sequence(F.floor(F.col("low") / F.col("_step")), F.floor((F.col("high") - 1) / F.col("_step")))
-    spans = cut_lineage(spans.select("client_id", *keys, "low", "high", F.explode(touched).alias("_at")))
-    steps = cut_lineage(steps)
-    placed = join_checked(ranked, steps, keys).where(F.col(rank) <= F.col("_top"))
+    spans = spans.select("client_id", *keys, "low", "high", F.explode(touched).alias("_at"))
+    placed = join_checked(ranked, limits.derive(steps), keys).where(F.col(rank) <= F.col("_top"))
     placed = placed.withColumn("_at", F.floor((F.col(rank) - 1) / F.col("_step")))
-    matched = join_checked(placed, spans, [*keys, "_at"])
+    matched = join_checked(placed, limits.derive(spans), [*keys, "_at"])
     return matched.where((F.col(rank) > F.col("low")) & (F.col(rank) <= F.col("high"))).drop(
         "_top", "_step", "_at", "low", "high"
     )
 
 
-def shuffle_family(df: DataFrame, row_id: str, seed: int, needed: DataFrame | None = None) -> DataFrame:
+def shuffle_family(df: DataFrame, row_id: str, seed: int, needed: Settled | None = None) -> DataFrame:
     """Position of each row in the seeded shuffle of its family (``rn``)."""
     digest = keyed_md5(F.col(row_id), int(seed))
     ranked = spread_row_number(df.withColumn("_digest", digest), ["family"], "_digest", [row_id], needed=needed)
     return ranked.drop("_digest")
 
 
-def trim_to_size(dealt: DataFrame, limits: DataFrame, client_size: int, row_id: str, seed: int) -> DataFrame:
-    """Remove random rows of clients that rounding took over ``client_size``.
-
-    Rounding can exceed the size by a few rows only, so the rows to remove are the first few of a hashed order: each
-    task sends a few rows per client, and one limit per client is joined back.
-    """
-    over = cut_lineage(
-        limits.groupBy("client_id")
-        .agg((F.sum(F.col("high") - F.col("low")) - F.lit(client_size)).alias("_over"))
-        .where("_over > 0")
-    )
-    most = over.agg(F.max("_over")).first()[0]
-    if not most:
-        return dealt
-    hashed = dealt.withColumn("_trim", F.struct(keyed_md5(F.col(row_id), int(seed), "trim").alias("h"), F.col(row_id)))
-    affected = join_checked(hashed.select("client_id", "_trim"), over, ["client_id"])
-    first = first_k(affected, ["client_id"], [F.col("_trim").asc()], most).where(F.col("rn") <= F.col("_over"))
-    last = cut_lineage(first.groupBy("client_id").agg(F.max("_trim").alias("_last")))
-    kept = join_checked(hashed, last, ["client_id"], "left")
-    return kept.where(F.col("_last").isNull() | (F.col("_trim") > F.col("_last"))).drop("_last", "_trim")
-
-
 def split_non_iid(
     df: DataFrame,
     specs: DataFrame,
@@ -179,28 +175,27 @@ def split_non_iid(
     for required in ("family", row_id):
         if required not in df.columns:
             raise ValueError(f"expected a '{required}' column")
-    pools = cut_lineage(df.groupBy("family").agg(F.count(F.lit(1)).alias("pool")))
+    pools = settle(df.groupBy("family").agg(F.count(F.lit(1)).alias("pool"))).df
     if client_size is None:
         rows = pools.agg(F.sum("pool")).first()[0] or 0
         client_size = rows // max(1, specs.select("client_id").distinct().count())
     if client_size <= 0:
         raise ValueError("client_size must be greater than 0")
 
-    limits = cut_lineage(quota_limits(specs, pools, client_size))
-    tops = limits.groupBy("family").agg(F.max("high").alias("_needed"))
-    short = cut_lineage(fill_limits(limits, client_size)) if fill else None
-    wanted = (short.agg(F.max("high")).first()[0] or 0) if fill else 0
+    limits = settle(quota_limits(specs, pools, client_size, seed))
+    tops = limits.derive(limits.df.groupBy("family").agg(F.max("top").alias("_needed")))
+    short = limits.derive(fill_limits(limits.df, client_size))
+    wanted = fill and not short.df.isEmpty()
 
     # Without a fill only the rows of the quotas are wanted; the rest is filtered before the shuffle.
     ranked = shuffle_family(df, row_id, seed, needed=None if wanted else tops)
-    quota = trim_to_size(deal(ranked, limits, ["family"]), limits, client_size, row_id, seed)
-    result = quota.drop("rn")
+    result = deal(ranked, limits.derive(limits.df.drop("top")), ["family"]).drop("rn")
     if wanted:
-        unused = join_checked(ranked, cut_lineage(tops), ["family"], "left")
+        unused = join_checked(ranked, tops, ["family"], "left")
         unused = unused.where(F.col("rn") > F.coalesce(F.col("_needed"), F.lit(0))).drop("_needed", "rn")
         unused = unused.withColumn("_digest", keyed_md5(F.col(row_id), int(seed), "fill"))
         leading = F.when(F.col("family").isin(*prefer), F.lit(0)).otherwise(F.lit(1)) if prefer else None
-        total = short.agg(F.max("high").alias("_needed"))
+        total = Settled(short.df.agg(F.max("high").alias("_needed")), True)
         dealt_rank = spread_row_number(unused, [], "_digest", [row_id], leading=leading, needed=total)
         result = result.unionByName(deal(dealt_rank.drop("_digest"), short, []).drop("rn").select(result.columns))
     return result.withColumn("shuffle_key", keyed_md5(F.col(row_id), int(seed), "shuffle"))

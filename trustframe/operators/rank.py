@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from trustframe.operators.materialize import cut_lineage, join_checked
+from trustframe.operators.materialize import Settled, join_checked
 
 # Spark drops rows beyond the limit before the shuffle for row_number() <= k up to this k.
 GROUP_LIMIT = 1000
@@ -18,7 +18,7 @@ def spread_row_number(
     out: str = "rn",
     hex_digits: int = 4,
     leading: Column | None = None,
-    needed: DataFrame | None = None,
+    needed: Settled | None = None,
 ) -> DataFrame:
     """``row_number() over (partition by keys order by [leading,] digest, tie)`` without one task per group.
 
@@ -28,8 +28,7 @@ def spread_row_number(
     join with the bucket offsets need the same partitioning.
 
     ``leading`` is a small integer that sorts before the digest. ``needed`` holds ``(keys..., _needed)``, the
-    largest row number wanted of each key: whole buckets beyond it are dropped with the offset join, and rows
-    beyond it are filtered.
+    largest row number wanted of each key: rows of later buckets are dropped before the shuffle.
     """
     prefix = F.conv(F.substring(F.col(digest), 1, hex_digits), 16, 10).cast("int")
     if leading is not None:
@@ -40,9 +39,9 @@ def spread_row_number(
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("_offset", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size")
     if needed is not None:
-        offsets = offsets.join(needed, keys) if keys else offsets.crossJoin(needed)
-        offsets = offsets.where(F.col("_offset") < F.col("_needed"))
-        bucketed = _before_limit(bucketed, offsets, keys)
+        offsets = join_checked(offsets, needed, keys).where(F.col("_offset") < F.col("_needed"))
+        last = needed.derive(offsets.groupBy(*keys).agg(F.max("_bucket").alias("_last")))
+        bucketed = join_checked(bucketed, last, keys).where(F.col("_bucket") <= F.col("_last")).drop("_last")
 
     inside = Window.partitionBy(*keys, "_bucket").orderBy(digest, *tie)
     numbered = bucketed.withColumn("_inner", F.row_number().over(inside))
@@ -53,13 +52,6 @@ def spread_row_number(
     return ranked.drop("_inner", "_offset", "_bucket")
 
 
-def _before_limit(bucketed: DataFrame, offsets: DataFrame, keys: list[str]) -> DataFrame:
-    """Filter rows of unwanted buckets in the scan stage, by the last wanted bucket of each key."""
-    last = cut_lineage(offsets.groupBy(*keys).agg(F.max("_bucket").alias("_last")))
-    kept = join_checked(bucketed, last, keys)
-    return kept.where(F.col("_bucket") <= F.col("_last")).drop("_last")
-
-
 def first_k(df: DataFrame, keys: list[str], order: list[Column], k: int, out: str = "rn") -> DataFrame:
     """First ``k`` rows of each group in the given total order, with their row number.
 

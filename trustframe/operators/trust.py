@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from trustframe.functions import arrays
 from trustframe.functions.scalars import clip
-from trustframe.operators.materialize import cut_lineage, join_checked
+from trustframe.operators.materialize import join_checked, settle
 from trustframe.operators.order_stats import DIRECT_ROWS, exact_median, largest_group
 from trustframe.operators.rank import first_k
 from trustframe.operators.updates import (
@@ -59,11 +59,11 @@ def loss_stability(before: Column, after: Column) -> Column:
 def with_similarity(updates: DataFrame, keys: Sequence[str] = KEYS, out: str = "cosine_similarity") -> DataFrame:
     """Cosine of each update to the unweighted mean update of its group.
 
-    The means are one short row per group. They are materialised, measured, and broadcast when small enough, so
-    the vectors are not shuffled.
+    The means are one short row per group. They are computed once and broadcast when small enough, so the
+    vectors are not shuffled.
     """
     keys = list(keys)
-    means = cut_lineage(assemble(plain_mean(updates, keys), keys, out="_mean"))
+    means = settle(assemble(plain_mean(updates, keys), keys, out="_mean"))
     return join_checked(updates, means, keys).withColumn(
         out, arrays.cosine(F.col("values"), F.col("_mean"))
     ).drop("_mean")
@@ -90,7 +90,7 @@ def with_used_flag(scored: DataFrame, drop_k: int, keys: Sequence[str] = KEYS) -
     limits = lowest.groupBy(*keys).agg(F.max(F.struct("cosine_similarity", "client_id")).alias("_limit"))
     sizes = narrow.groupBy(*keys).agg(F.count(F.lit(1)).alias("_clients"))
     limits = limits.join(sizes, keys) if keys else limits.crossJoin(sizes)
-    limits = cut_lineage(limits.withColumn("_drops", F.col("_clients") > drop_k).drop("_clients"))
+    limits = settle(limits.withColumn("_drops", F.col("_clients") > drop_k).drop("_clients"))
     position = F.struct("cosine_similarity", "client_id")
     return (
         join_checked(scored, limits, keys)
@@ -203,11 +203,11 @@ def cross_layer_score(
     long = records.select(client, F.inline(F.array(*cells))).withColumn(
         "x", F.when(~F.isnan("x"), F.col("x"))
     )
-    medians = cut_lineage(exact_median(long, [client, "feature"], "x", out="center", **one_column).drop("n"))
+    medians = settle(exact_median(long, [client, "feature"], "x", out="center", **one_column).drop("n"))
     centered = join_checked(long, medians, [client, "feature"], "left").withColumn(
         "distance", F.abs(F.col("x") - F.col("center"))
     )
-    spreads = cut_lineage(exact_median(centered, [client, "feature"], "distance", out="mad", **one_column).drop("n"))
+    spreads = settle(exact_median(centered, [client, "feature"], "distance", out="mad", **one_column).drop("n"))
     z = F.col("distance") / F.nullif("mad", F.lit(0.0))
     finite = F.coalesce(F.when(F.isnan(z) | (F.abs(z) == float("inf")), F.lit(0.0)).otherwise(z), F.lit(0.0))
     intensities = exact_median(

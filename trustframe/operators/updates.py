@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from trustframe.functions import arrays
-from trustframe.operators.materialize import cut_lineage, join_checked
+from trustframe.operators.materialize import join_checked, settle
 from trustframe.operators.order_stats import DIRECT_ROWS, largest_group, lower_median, select_ranks
 
 KEYS = ("scenario_id", "round")
@@ -52,7 +52,7 @@ def assemble(coordinates: DataFrame, keys: Sequence[str] = KEYS, out: str = "val
 
 def state_delta(states: DataFrame, base: DataFrame, on: Sequence[str]) -> DataFrame:
     """Update of each state relative to the base state of its group (column ``base``)."""
-    joined = join_checked(states, cut_lineage(base), list(on))
+    joined = join_checked(states, settle(base), list(on))
     return joined.withColumn("values", arrays.subtract(F.col("values"), F.col("base"))).drop("base")
 
 
@@ -118,7 +118,7 @@ def trimmed_mean(
         return gathered.select(*by, (total / (n - 2 * cut)).alias("value"))
 
     # Positions of the first and last kept value, then one summing pass; ties at both ends are counted, not guessed.
-    limits = cut_lineage(
+    limits = settle(
         select_ranks(
             coordinates,
             by,
