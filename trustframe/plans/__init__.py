@@ -1,0 +1 @@
+"""Multi-stage jobs: training rounds, sweeps, baselines and run analytics."""
