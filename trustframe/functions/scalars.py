@@ -41,11 +41,11 @@ def format_int_list(values: Column) -> Column:
     return F.concat_ws(",", F.transform(values, lambda value: value.cast("string")))
 
 
-def balanced_sum(terms: list[Column]) -> Column:
-    """Sum of many columns as a shallow expression tree."""
+def balanced_sum(terms: list[str]) -> str:
+    """Sum of many SQL terms as a shallow expression tree."""
     if not terms:
-        return F.lit(0.0)
+        return "0.0D"
     while len(terms) > 1:
-        paired = [a + b for a, b in zip(terms[::2], terms[1::2])]
+        paired = [f"({a} + {b})" for a, b in zip(terms[::2], terms[1::2])]
         terms = paired + ([terms[-1]] if len(terms) % 2 else [])
     return terms[0]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from trustframe.functions import arrays
 from trustframe.operators import metrics, trust, updates
-from trustframe.operators.materialize import cut_lineage, join_checked, literal_table, settle
+from trustframe.operators.materialize import ARRAY_ROWS, Settled, cut_lineage, join_checked, literal_table, settle
 from trustframe.operators.noise import pick_clients
 from trustframe.plans.learners import Columns, LinearLearner, MlpLearner, Scenario
 
@@ -57,15 +57,16 @@ def train_rounds(
     """Train, diagnose, merge and install, round by round; then score every round in one pass over ``test``.
 
     ``rows`` and ``test`` hold prepared features. ``cross_layer`` is ``(client_id, score)``; it depends on raw data
-    only, so it is worked out once. The state of each round is written before the next one starts. With no rounds
-    the initial model is scored as round 0.
+    only, so it is worked out once. The updates of each round are written before they are merged, and the merged
+    state is settled, so the plan of a round does not contain the rounds before it. With no rounds the initial
+    model is scored as round 0.
     """
     spark = rows.sparkSession
     start = config.learner.initial(columns, config.seed)
     state = literal_table(
         spark, [(s.scenario_id, 0, start) for s in scenarios], "scenario_id int, round int, weights array<double>"
     )
-    states, feedback = [state], []
+    states, feedback, small = [state], [], len(scenarios) * (config.rounds + 1) <= ARRAY_ROWS
     layers = None if cross_layer is None else settle(
         cross_layer.select(F.col("client_id").cast("long").alias("client_id"), F.col("score").alias("cross_layer"))
     )
@@ -78,9 +79,8 @@ def train_rounds(
         if layers is not None:
             diagnosed = join_checked(diagnosed, layers, ["client_id"], "left")
         current = cut_lineage(updates.clip_updates(diagnosed, config.merge.clip_norm))
-        updates.validate_updates(current, KEYS)
         scored = trust.score_updates(current, config.merge, KEYS)
-        feedback.append(cut_lineage(trust.client_feedback(scored, KEYS)))
+        feedback.append(trust.client_feedback(scored, KEYS))
         merged = updates.assemble(trust.merge_scored(scored, config.merge, KEYS), KEYS)
         state = settle(
             state.drop("round").join(merged, "scenario_id").select(
@@ -91,7 +91,7 @@ def train_rounds(
 
     all_states = functools.reduce(DataFrame.unionByName, states)
     to_score = all_states.where("round > 0") if config.rounds > 0 else all_states
-    counts = config.learner.predictions(test, columns, settle(to_score))
+    counts = config.learner.predictions(test, columns, Settled(to_score, True) if small else settle(to_score))
     scores = metrics.binary_metrics(counts, F.col("y"), F.col("predicted"), KEYS, count=F.col("n")).drop(
         "tp", "fp", "tn", "fn"
     )
