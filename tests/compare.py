@@ -70,7 +70,7 @@ def compare(spark, connection, query, sql, sf_dir):
     types = {d[0]: str(d[1]) for d in cursor.description}
     want_columns, want = _rows(names, cursor.fetchall())
     kinds = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean",
-             "TIMESTAMP": "timestamp"}
+             "TIMESTAMP": "timestamp_ntz"}
     odd = [
         f"{name}: {kind} / {types[name]}"
         for name, kind in frame.dtypes
