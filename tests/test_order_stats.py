@@ -12,7 +12,7 @@ from pyspark.sql import Window, functions as F
 
 def _values():
     rng = np.random.default_rng(5)
-    hot = np.concatenate([rng.normal(0, 1, 400), np.zeros(150), rng.uniform(1e8, 1e8 + 1, 300), [-1e300, 1e300, 5e-324]])
+    hot = np.concatenate([rng.normal(0, 1, 400), np.zeros(150), rng.uniform(1e8, 1e8 + 1, 300), [-1e300, 1e300, 5e-324, np.inf]])
     return {
         "hot": hot,
         "ties": np.repeat([-2.0, -2.0, 3.5], 40),

@@ -68,7 +68,7 @@ def _select_sorted(clean: DataFrame, keys: list[str], names: list[str], ranks) -
 
 def _select_narrowing(clean: DataFrame, keys: list[str], names: list[str], ranks, direct_rows: int) -> DataFrame:
     # First pass: buckets of equal ratio. log() is monotone, so bucket order is value order.
-    magnitude = F.floor(F.log(F.abs(F.col("_v"))) * LOG_STEPS).cast("long") + F.lit(10**9)
+    magnitude = F.least(F.floor(F.log(F.abs(F.col("_v"))) * LOG_STEPS), F.lit(10**6)) + F.lit(10**9)
     bucket = F.when(F.col("_v") == 0, F.lit(0)).otherwise(F.signum("_v").cast("long") * magnitude)
     histogram = _histogram(clean.withColumn("_b", bucket), keys)
     running = Window.partitionBy(*keys).orderBy("_b")

@@ -116,9 +116,12 @@ def quota_limits(specs: DataFrame, pools: DataFrame, client_size: int, seed: int
     start = F.floor(F.col("draw") * F.col("rows"))
     picks = F.transform(
         F.sequence(F.lit(0).cast("long"), over),
-        lambda j: F.pmod(start + F.floor(j * F.col("rows") / F.greatest(over, F.lit(1))), F.col("rows")),
+        lambda j: F.pmod(
+            start + F.floor(j * F.col("rows") / F.greatest(over, F.lit(1))), F.greatest(F.col("rows"), F.lit(1))
+        ),
     )
-    hit = F.size(F.filter(F.slice(picks, F.lit(1), over.cast("int")), lambda at: (at >= F.col("before")) & (at < F.col("before") + F.col("n"))))
+    own_rows = lambda at: (at >= F.col("before")) & (at < F.col("before") + F.col("n"))
+    hit = F.size(F.filter(F.slice(picks, F.lit(1), over.cast("int")), own_rows))
     return counted.select("client_id", "family", "low", (F.col("top") - hit).alias("high"), "top")
 
 

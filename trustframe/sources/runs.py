@@ -164,7 +164,7 @@ def read_round_files(spark: SparkSession, root: str, strict: bool = False) -> Da
         body = lines.select("run_name", F.split(F.trim("value"), r"\r?\n").alias("lines"))
         rows = body.select(
             "run_name", F.split(F.col("lines")[0], ",").alias("names"), F.posexplode("lines").alias("_no", "line")
-        ).where("_no > 0")
+        ).where("_no > 0 AND line <> ''")
         cells = F.map_from_arrays("names", F.split("line", ",", -1))
         typed = [_cell(cells, f) for f in columns.fields]
         csv = rows.select(*typed, "run_name")
