@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from trustframe.functions.labels import binary_label
 from trustframe.operators.materialize import join_checked, settle
-from trustframe.operators.order_stats import DIRECT_ROWS, exact_median
+from trustframe.operators.order_stats import DIRECT_ROWS, exact_median, largest_group
 
 # Wide one-hot columns stay readable for the planner up to here; `one_hot_long` has no such bound.
 MAX_LEVELS = 2000
@@ -61,7 +61,13 @@ def numeric_statistics(
     )
     moments = moments.select(*by, F.inline(F.array(*[F.col(f"_{i}") for i in range(len(columns))])))
     cells = F.array(*[F.struct(F.lit(name).alias("col"), _number(name).alias("x")) for name in columns])
-    medians = exact_median(df.select(*by, F.inline(cells)), [*by, "col"], "x", direct_rows=direct_rows).drop("n")
+    medians = exact_median(
+        df.select(*by, F.inline(cells)),
+        [*by, "col"],
+        "x",
+        group_rows=largest_group(df, by),
+        direct_rows=direct_rows,
+    ).drop("n")
 
     present, rows, avg = F.col("present"), F.col("rows"), F.col("avg")
     missing = rows - present

@@ -6,6 +6,7 @@ import tempfile
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -34,6 +35,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def keep_for_iteration(df: DataFrame) -> DataFrame:
+    """Persist a table that will be read many times; the caller unpersists it.
+
+    A source that gives fewer partitions than there are cores (one unsplittable file, say) is spread over them
+    evenly first; otherwise the partitions stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores)
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 @dataclass(frozen=True)
 class Settled:
     """A table that was computed once, with the outcome of its size check."""

@@ -140,6 +140,38 @@ def _inside(clean: DataFrame, state: Settled, keys: list[str]) -> DataFrame:
     return joined.where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
 
 
+def kth_smallest(
+    df: DataFrame, keys: list[str], value: str, tie: str, k: int, direct_rows: int = DIRECT_ROWS
+) -> DataFrame:
+    """``(keys..., value, tie)`` of the row at position ``k`` when a group is sorted by value, then by an integer tie.
+
+    Groups with fewer rows give their last row. The value is found first, then the tie (in two halves, each exact as
+    a double) among the rows that share the value.
+    """
+    half = 1 << 31
+    parts = ["_value", "_high", "_low"]
+    rows = df.select(
+        *keys,
+        F.col(value).cast("double").alias("_value"),
+        F.floor(F.col(tie) / half).alias("_high"),
+        F.pmod(F.col(tie), F.lit(half)).alias("_low"),
+        F.lit(int(k)).cast("long").alias("_rank"),
+    )
+    by = [*keys, "_rank"]
+    for part in parts:
+        at = f"{part}_at"
+        found = select_ranks(rows, by, part, lambda n: {at: F.least(F.col("_rank"), n)}, direct_rows=direct_rows)
+        found = found.withColumn("_place", F.least(F.col("_rank"), F.col("n"))).drop("n")
+        joined = join_checked(rows, settle(found), by).drop("_rank")
+        by = [name for name in by if name != "_rank"] + [at, "_place"]
+        below = joined.groupBy(*by).agg(F.count_if(F.col(part) < F.col(at)).alias("_below"))
+        tied = join_checked(joined.where(F.col(part) == F.col(at)), settle(below), by)
+        rows = tied.withColumn("_rank", F.col("_place") - F.col("_below")).drop("_place", "_below")
+        by = [name for name in by if name != "_place"] + ["_rank"]
+    found_tie = (F.col("_high_at") * half + F.col("_low_at")).cast("long")
+    return rows.select(*keys, F.col("_value_at").alias(value), found_tie.alias(tie)).distinct()
+
+
 def exact_median(df: DataFrame, keys: list[str], value: str, out: str = "median", **limits) -> DataFrame:
     """Median that averages the two middle values: ``(keys..., n, out)``."""
     ranked = select_ranks(df, keys, value, median_ranks, **limits)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from trustframe.operators.materialize import Settled, join_checked
+from trustframe.operators.order_stats import kth_smallest
 
 # Spark drops rows beyond the limit before the shuffle for row_number() <= k up to this k.
 GROUP_LIMIT = 1000
@@ -52,11 +53,28 @@ def spread_row_number(
     return ranked.drop("_inner", "_offset", "_bucket")
 
 
+def smallest_limit(
+    df: DataFrame, keys: list[str], value: str, tie: str, k: int, group_limit: int = GROUP_LIMIT
+) -> DataFrame:
+    """``(keys..., _limit)``: the last ``(value, tie)`` among the ``k`` smallest rows of each group.
+
+    Small ``k`` takes k rows per task; a larger one is found by selection, so a hot group never meets in one task.
+    """
+    narrow = df.select(*keys, value, tie)
+    if k <= group_limit:
+        last = first_k(narrow, keys, [F.col(value).asc(), F.col(tie).asc()], k)
+    else:
+        last = kth_smallest(narrow, keys, value, tie, k)
+    return last.groupBy(*keys).agg(F.max(F.struct(value, tie)).alias("_limit"))
+
+
 def first_k(df: DataFrame, keys: list[str], order: list[Column], k: int, out: str = "rn") -> DataFrame:
     """First ``k`` rows of each group in the given total order, with their row number.
 
-    For ``k`` up to ``GROUP_LIMIT`` each task keeps only its own first k rows of a group before the shuffle, so
-    a hot group sends k rows per task. Larger ``k`` makes the kept rows themselves the size of the result.
+    Each task keeps only its own first k rows of a group before the shuffle, which Spark does for ``k`` up to
+    ``GROUP_LIMIT``.
     """
+    if k > GROUP_LIMIT:
+        raise ValueError(f"first_k is for k up to {GROUP_LIMIT}, see smallest_limit")
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(out, F.row_number().over(window)).where(F.col(out) <= F.lit(int(k)))

@@ -11,7 +11,7 @@ from trustframe.functions import arrays
 from trustframe.functions.scalars import clip
 from trustframe.operators.materialize import join_checked, settle
 from trustframe.operators.order_stats import DIRECT_ROWS, exact_median, largest_group
-from trustframe.operators.rank import first_k
+from trustframe.operators.rank import smallest_limit
 from trustframe.operators.updates import (
     KEYS,
     assemble,
@@ -80,15 +80,13 @@ def with_used_flag(scored: DataFrame, drop_k: int, keys: Sequence[str] = KEYS) -
     """Flag the clients that stay after removing the ``drop_k`` of lowest similarity in each group.
 
     Nothing is removed when ``drop_k`` is not below the group size. Equal similarities fall to the lower client
-    id. The k lowest are found from k rows per task, and only their upper limit is joined back.
+    id. Only the upper limit of the k lowest is joined back.
     """
     if drop_k <= 0:
         return scored.withColumn("used", F.lit(True))
     keys = list(keys)
-    narrow = scored.select(*keys, "cosine_similarity", "client_id")
-    lowest = first_k(narrow, keys, [F.col("cosine_similarity").asc(), F.col("client_id").asc()], drop_k)
-    limits = lowest.groupBy(*keys).agg(F.max(F.struct("cosine_similarity", "client_id")).alias("_limit"))
-    sizes = narrow.groupBy(*keys).agg(F.count(F.lit(1)).alias("_clients"))
+    limits = smallest_limit(scored, keys, "cosine_similarity", "client_id", drop_k)
+    sizes = scored.groupBy(*keys).agg(F.count(F.lit(1)).alias("_clients"))
     limits = limits.join(sizes, keys) if keys else limits.crossJoin(sizes)
     limits = settle(limits.withColumn("_drops", F.col("_clients") > drop_k).drop("_clients"))
     position = F.struct("cosine_similarity", "client_id")

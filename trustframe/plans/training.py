@@ -10,7 +10,15 @@ from pyspark.sql import DataFrame, functions as F
 
 from trustframe.functions import arrays
 from trustframe.operators import metrics, trust, updates
-from trustframe.operators.materialize import ARRAY_ROWS, Settled, cut_lineage, join_checked, literal_table, settle
+from trustframe.operators.materialize import (
+    ARRAY_ROWS,
+    Settled,
+    cut_lineage,
+    join_checked,
+    keep_for_iteration,
+    literal_table,
+    settle,
+)
 from trustframe.operators.noise import pick_clients
 from trustframe.plans.learners import Columns, LinearLearner, MlpLearner, Scenario
 
@@ -61,6 +69,16 @@ def train_rounds(
     state is settled, so the plan of a round does not contain the rounds before it. With no rounds the initial
     model is scored as round 0.
     """
+    rows = keep_for_iteration(
+        rows.select(columns.row_id, columns.client, columns.label, *[f"`{name}`" for name in columns.features])
+    )
+    try:
+        return _run_rounds(rows, test, columns, config, scenarios, cross_layer)
+    finally:
+        rows.unpersist()
+
+
+def _run_rounds(rows, test, columns, config, scenarios, cross_layer) -> TrainResult:
     spark = rows.sparkSession
     start = config.learner.initial(columns, config.seed)
     state = literal_table(
@@ -163,7 +181,7 @@ def baseline_binary(train: DataFrame, test: DataFrame, features: Sequence[str],
     """Central logistic regression with an L2 penalty of strength ``1 / c`` on the summed loss: one metrics row."""
     from pyspark.ml.classification import LogisticRegression
 
-    fitted_on = _assembled(train, features, F.col(label).cast("double").alias("label")).persist()
+    fitted_on = keep_for_iteration(_assembled(train, features, F.col(label).cast("double").alias("label")))
     try:
         n = fitted_on.count()
         model = LogisticRegression(
@@ -184,7 +202,7 @@ def baseline_multiclass(
 
     fitted_on = _assembled(train, features, F.col(label).alias("name"))
     index = StringIndexer(inputCol="name", outputCol="label", stringOrderType="alphabetAsc").fit(fitted_on)
-    indexed = index.transform(fitted_on).select("label", "features").persist()
+    indexed = keep_for_iteration(index.transform(fitted_on).select("label", "features"))
     try:
         n = indexed.count()
         model = LogisticRegression(
