@@ -8,7 +8,7 @@ from compare import compare, duck
 from __spark_entry__ import entry, oracle_sql, queries
 
 SF_DIR = "/root/testdata/sf0.001"
-ROWS_ONLY = {"train_rounds_trust", "local_mlp", "attacker_sweep", "baseline_binary", "baseline_multiclass"}
+ROWS_ONLY = {"local_mlp", "baseline_binary", "baseline_multiclass"}
 
 
 @pytest.fixture(scope="module")

@@ -13,6 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 # A settled table up to this many rows becomes a literal of the plan; with array columns the limit is lower.
 NARROW_ROWS = 200_000
 ARRAY_ROWS = 500
+LITERAL_BYTES = 32 * 1024 * 1024
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
 
 
@@ -77,7 +78,7 @@ def settle(df: DataFrame, max_rows: int | None = None) -> Settled:
         nested = any(isinstance(f.dataType, (T.ArrayType, T.MapType)) for f in df.schema.fields)
         max_rows = ARRAY_ROWS if nested else NARROW_ROWS
     head = df.limit(max_rows + 1).toArrow()
-    if head.num_rows <= max_rows:
+    if head.num_rows <= max_rows and head.nbytes <= LITERAL_BYTES:
         return Settled(df.sparkSession.createDataFrame(head, _nullable(df.schema)), True)
     written = cut_lineage(df)
     return Settled(written, measured_bytes(written) <= BROADCAST_LIMIT_BYTES)

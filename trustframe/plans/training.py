@@ -9,6 +9,7 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import DataFrame, functions as F
 
 from trustframe.functions import arrays
+from trustframe.functions.scalars import format_int_list
 from trustframe.operators import metrics, trust, updates
 from trustframe.operators.materialize import (
     ARRAY_ROWS,
@@ -170,6 +171,11 @@ def attacker_sweep(
     )
 
 
+def export_sweep(sweep: DataFrame) -> DataFrame:
+    """Sweep summary with the client ids as comma separated text, as it is written to CSV."""
+    return sweep.withColumn("malicious_clients", format_int_list(F.col("malicious_clients")))
+
+
 def _assembled(df: DataFrame, features: Sequence[str], *keep):
     from pyspark.ml.functions import array_to_vector
 
