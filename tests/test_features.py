@@ -34,9 +34,11 @@ def test_scalars(spark):
         scalars.parse_int_list(F.lit("")).alias("none"),
         scalars.format_int_list(F.array(F.lit(3), F.lit(1))).alias("text"),
         scalars.ratio_or_zero(F.lit(1), F.lit(0)).alias("zero"),
+        scalars.iso_utc(F.lit("2024-01-02T03:04:05.5+01:00").cast("timestamp")).alias("iso"),
     ).first()
     assert row["s"] == 0.5 and row["p"] == 1 and row["big"] == 800.0 and row["even"] == 4.0
     assert row["ids"] == [1, 2, 5] and row["none"] == [] and row["text"] == "3,1" and row["zero"] == 0.0
+    assert row["iso"] == "2024-01-02T02:04:05.500000+00:00"
 
 
 @pytest.fixture(scope="module")

@@ -5,8 +5,8 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from trustframe.operators.order_stats import exact_median, lower_median, select_ranks
-from trustframe.operators.rank import first_k, spread_row_number
+from trustframe.operators.order_stats import exact_median, kth_smallest, lower_median, select_ranks
+from trustframe.operators.rank import first_k, smallest_limit, spread_row_number
 from pyspark.sql import Window, functions as F
 
 
@@ -67,3 +67,19 @@ def test_first_k_is_limited_before_the_shuffle(spark):
     limited = first_k(rows, ["k"], [F.col("id").desc()], 3)
     assert sorted(r["id"] for r in limited.collect()) == [994, 995, 996, 997, 998, 999]
     assert "WindowGroupLimit" in limited._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("k", [1, 7, 60, 5000])
+def test_limits_of_the_smallest(spark, k):
+    rows = spark.range(400).select(
+        (F.col("id") % 3 % 2).alias("k"), (F.col("id") % 5).cast("double").alias("v"), (F.col("id") * 7919 % 1009).alias("t")
+    )
+    rows = rows.withColumn("t", F.col("t") * 2**31 + 5)
+    expected = {}
+    for r in rows.collect():
+        expected.setdefault(r["k"], []).append((r["v"], r["t"]))
+    expected = {key: sorted(v)[min(k, len(v)) - 1] for key, v in expected.items()}
+    for group_limit in (0, 1000) if k <= 1000 else (0,):
+        got = {r["k"]: tuple(r["_limit"]) for r in smallest_limit(rows, ["k"], "v", "t", k, group_limit).collect()}
+        assert got == expected
+    assert kth_smallest(rows, ["k"], "v", "t", k, direct_rows=2).count() == 2

@@ -71,6 +71,11 @@ def test_client_tables(spark, tmp_path):
     specs = partition.specs_table(spark, [(f"c{i}", {"normal": 0.5, "dos": 0.5}) for i in range(12)])
     dealt = partition.split_non_iid(rows, specs, 2, seed=1)
     records.write_client_tables(dealt, str(tmp_path / "clients"))
+    manifest = partition.split_manifest(dealt, specs, 2, 1)
+    partition.write_manifest(manifest, str(tmp_path / "manifest"), "train.txt", str(tmp_path / "clients"))
+    described = [json.loads(line) for file in (tmp_path / "manifest").glob("*.json") for line in file.read_text().splitlines()]
+    assert len(described) == 12 and {d["n_clients"] for d in described} == {12}
+    assert described[0]["family_counts"] == {"dos": 1, "normal": 1} and described[0]["source"] == "train.txt"
     back = records.read_client_tables(spark, str(tmp_path / "clients"))
     assert "family" not in back.columns and "shuffle_key" not in back.columns
     assert {r["client_id"]: r["count"] for r in back.groupBy("client_id").count().collect()} == {i: 2 for i in range(1, 13)}
@@ -136,6 +141,11 @@ def test_round_files(spark, tmp_path):
         runs.read_round_files(spark, str(tmp_path), strict=True).collect()
     with pytest.raises(FileNotFoundError):
         runs.read_round_files(spark, str(tmp_path / "empty"))
+    assert [r["round"] for r in runs.read_run(spark, str(tmp_path / "a")).orderBy("round").collect()] == [1, 2]
+    assert runs.read_run(spark, str(tmp_path / "b" / "rounds.json")).count() == 2
+    assert runs.read_run(spark, str(tmp_path / "b" / "rounds.csv")).first()["run_name"] == "b"
+    with pytest.raises(FileNotFoundError):
+        runs.read_run(spark, str(tmp_path / "empty"))
     merged = analytics.merge_runs({"a": raw.where("run_name = 'a'").drop("run_name"), "b": raw.where("run_name = 'b'").drop("run_name")})
     runs.write_merged(merged, str(tmp_path / "merged"))
     assert spark.read.csv(str(tmp_path / "merged_csv"), header=True).count() == 3
@@ -166,6 +176,7 @@ def test_run_choice_and_signals(spark):
     assert names(analytics.select_runs(rounds)) == ["a", "b", "c"]
     assert names(analytics.select_runs(rounds, standard=["a", "b"])) == ["a", "b"]
     assert names(analytics.select_runs(rounds, standard=["a", "zzz"])) == ["a", "b", "c"]
+    assert names(analytics.select_runs(rounds, skip_prefix="a")) == ["b", "c"]
     signals = {r["run_name"]: (r["signal"], r["value"]) for r in analytics.defense_signal(rounds).collect()}
     assert signals == {"a": ("cross_layer_mean", 0.1), "b": ("trust_mean", 0.3), "c": ("accuracy", 0.7)}
 

@@ -137,3 +137,35 @@ def test_baselines(data):
     full = training.baseline_multiclass(named(train), named(test), ["a", "b"]).first()
     unseen = training.baseline_multiclass(named(train), named(test, "novel"), ["a", "b"]).first()
     assert full["accuracy"] > 0.95 and unseen["accuracy"] < full["accuracy"]
+
+
+def test_baseline_equals_newton(data):
+    """The penalised optimum is unique, so predictions can be checked against a direct solver."""
+    train, test = (df.toPandas() for df in data)
+    design = lambda rows: np.column_stack([rows.a, rows.b, np.ones(len(rows))])
+    x, y, w = design(train), train.y.to_numpy(), np.zeros(3)
+    penalty = np.diag([1.0, 1.0, 0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-x @ w))
+        w -= np.linalg.solve((x.T * (p * (1 - p))) @ x + penalty, x.T @ (p - y) + penalty @ w)
+    guess = design(test) @ w >= 0
+    row = training.baseline_binary(*data, ["a", "b"]).first()
+    assert abs(row["tp"] - int(np.sum(guess & (test.y == 1)))) <= 1
+    assert abs(row["fp"] - int(np.sum(guess & (test.y == 0)))) <= 1
+
+
+def test_local_mlp_equals_the_same_steps_outside_spark(spark, data):
+    train = data[0]
+    learner = learners.MlpLearner(hidden=(6, 4), lr=0.01, epochs=2, batch_size=32)
+    start = learner.initial(COLUMNS, 1)
+    state = spark.createDataFrame([(0, start)], "scenario_id int, weights array<double>")
+    rows = {r["client_id"]: r for r in learner.train(train, COLUMNS, state, [learners.Scenario(0, (2,), 1.0)], 4, 9).collect()}
+    ordered = train.withColumn("_order", F.xxhash64("row_id")).orderBy("_order").toPandas()
+    for client in (1, 2):
+        own = ordered[ordered.client_id == client]
+        x, y = own[["a", "b"]].to_numpy(), own.y.to_numpy().astype(float)
+        target = 1 - y if client == 2 else y
+        end = mlp.train(np.array(start), x, target, (6, 4), 2, 32, 0.01, 0.0, [9, 4, client, 0])
+        assert rows[client]["values"] == pytest.approx((end - np.array(start)).tolist(), abs=1e-12)
+        assert rows[client]["loss_after"] == pytest.approx(mlp.mean_loss(end, x, y, (6, 4)))
+        assert rows[client]["loss_before"] == pytest.approx(mlp.mean_loss(np.array(start), x, y, (6, 4)))

@@ -37,6 +37,12 @@ def parse_int_list(text: Column) -> Column:
     return F.transform(F.filter(parts, lambda part: part != ""), lambda part: part.cast("int"))
 
 
+def iso_utc(moment: Column) -> Column:
+    """ISO-8601 text of a timestamp in UTC, whatever the time zone of the session."""
+    utc = F.to_utc_timestamp(moment, F.current_timezone())
+    return F.concat(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))
+
+
 def format_int_list(values: Column) -> Column:
     return F.concat_ws(",", F.transform(values, lambda value: value.cast("string")))
 

@@ -155,19 +155,19 @@ def kth_smallest(
         F.col(value).cast("double").alias("_value"),
         F.floor(F.col(tie) / half).alias("_high"),
         F.pmod(F.col(tie), F.lit(half)).alias("_low"),
-        F.lit(int(k)).cast("long").alias("_rank"),
+        F.lit(int(k)).cast("long").alias("_position"),
     )
-    by = [*keys, "_rank"]
+    by = [*keys, "_position"]
     for part in parts:
         at = f"{part}_at"
-        found = select_ranks(rows, by, part, lambda n: {at: F.least(F.col("_rank"), n)}, direct_rows=direct_rows)
-        found = found.withColumn("_place", F.least(F.col("_rank"), F.col("n"))).drop("n")
-        joined = join_checked(rows, settle(found), by).drop("_rank")
-        by = [name for name in by if name != "_rank"] + [at, "_place"]
+        found = select_ranks(rows, by, part, lambda n: {at: F.least(F.col("_position"), n)}, direct_rows=direct_rows)
+        found = found.withColumn("_place", F.least(F.col("_position"), F.col("n"))).drop("n")
+        joined = join_checked(rows, settle(found), by).drop("_position")
+        by = [name for name in by if name != "_position"] + [at, "_place"]
         below = joined.groupBy(*by).agg(F.count_if(F.col(part) < F.col(at)).alias("_below"))
         tied = join_checked(joined.where(F.col(part) == F.col(at)), settle(below), by)
-        rows = tied.withColumn("_rank", F.col("_place") - F.col("_below")).drop("_place", "_below")
-        by = [name for name in by if name != "_place"] + ["_rank"]
+        rows = tied.withColumn("_position", F.col("_place") - F.col("_below")).drop("_place", "_below")
+        by = [name for name in by if name != "_place"] + ["_position"]
     found_tie = (F.col("_high_at") * half + F.col("_low_at")).cast("long")
     return rows.select(*keys, F.col("_value_at").alias(value), found_tie.alias(tie)).distinct()
 

@@ -208,6 +208,13 @@ def family_counts(df: DataFrame, keys: Sequence[str] = ("client_id",)) -> DataFr
     return df.groupBy(*keys, "family").agg(F.count(F.lit(1)).alias("n"))
 
 
+def write_manifest(manifest: DataFrame, path: str, source: str, output: str) -> None:
+    """Manifest as JSON: one object per client, each with the parameters of the whole split."""
+    n_clients = manifest.select("client_id").distinct().count()
+    described = manifest.withColumns({"n_clients": F.lit(n_clients), "source": F.lit(source), "output_dir": F.lit(output)})
+    described.write.mode("errorifexists").json(path)
+
+
 def split_manifest(dealt: DataFrame, specs: DataFrame, client_size: int, seed: int) -> DataFrame:
     """One row per client: parameters, spec shares, rows and family counts; families are few, so maps stay short."""
     counts = family_counts(dealt).groupBy("client_id").agg(

@@ -8,7 +8,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from trustframe.operators.materialize import Settled, join_checked, literal_table, settle
-from trustframe.operators.rank import first_k
+from trustframe.operators.rank import smallest_limit
 from trustframe.sources.runs import METRICS, latest_rounds
 
 # Run names of the standard comparison, and defence signals from most to least telling.
@@ -34,10 +34,18 @@ def merge_runs(runs: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def select_runs(
-    rounds: DataFrame, wanted: Sequence[str] | None = None, standard: Sequence[str] = tuple(STANDARD_RUNS)
+    rounds: DataFrame,
+    wanted: Sequence[str] | None = None,
+    standard: Sequence[str] = tuple(STANDARD_RUNS),
+    skip_prefix: str | None = None,
 ) -> DataFrame:
-    """Rounds of the wanted runs; without a wish, the standard runs when all of them exist, else every run."""
+    """Rounds of the wanted runs; without a wish, the standard runs when all of them exist, else every run.
+
+    ``skip_prefix`` leaves out runs by the start of their name, such as the year of runs named by time.
+    """
     spark = rounds.sparkSession
+    if skip_prefix:
+        rounds = rounds.where(~F.col("run_name").startswith(skip_prefix))
     names = list(standard) if wanted is None else [name.strip() for name in wanted if name.strip()]
     if not names:
         return rounds if wanted is None else rounds.limit(0)
@@ -101,22 +109,23 @@ def attacker_rank(
     """How attackers rank by trust, over all rounds.
 
     ``attackers`` is a table of ``client_id`` (and of some of ``keys``, when attackers differ by run). Gives the share
-    of attacker rows among the ``k`` least trusted of their round, and the mean trust of attackers and others. Only
-    k rows per group and task are sorted.
+    of attacker rows among the ``k`` least trusted of their round, and the mean trust of attackers and others. The
+    limit of each round's k least trusted is joined to the feedback, which is then summed up in one pass.
     """
     keys = list(keys)
     on = [name for name in (*keys, "client_id") if name in attackers.columns]
-    marked_by = attackers.select(*on).distinct().withColumn("attacker", F.lit(True))
+    marked_by = settle(attackers.select(*on).distinct().withColumn("attacker", F.lit(True)))
     trusted = feedback.where(F.col("trust").isNotNull()).select(*keys, "client_id", "trust")
-    bottom = first_k(trusted, keys, [F.col("trust").asc(), F.col("client_id").asc()], k).join(marked_by, on, "left_semi")
-    hits = bottom.agg(F.count(F.lit(1)).alias("hits"))
-    marked = trusted.join(marked_by, on, "left").withColumn("attacker", F.coalesce("attacker", F.lit(False)))
+    limits = settle(smallest_limit(trusted, keys, "trust", "client_id", k))
+    marked = join_checked(join_checked(trusted, limits, keys), marked_by, on, "left")
+    marked = marked.withColumn("attacker", F.coalesce("attacker", F.lit(False)))
     totals = marked.agg(
         F.count_if("attacker").alias("attacker_rows"),
+        F.count_if(F.col("attacker") & (F.struct("trust", "client_id") <= F.col("_limit"))).alias("hits"),
         F.avg(F.when(F.col("attacker"), F.col("trust"))).alias("attacker_trust_mean"),
         F.avg(F.when(~F.col("attacker"), F.col("trust"))).alias("benign_trust_mean"),
     )
     share = F.col("hits") / F.nullif(F.col("attacker_rows").cast("double"), F.lit(0.0))
-    return totals.crossJoin(hits).select(
+    return totals.select(
         "attacker_rows", "hits", share.alias("bottom_share"), "attacker_trust_mean", "benign_trust_mean"
     )

@@ -142,13 +142,18 @@ def read_client_csv(spark: SparkSession, path: str) -> DataFrame:
     return clean_records(rows.withColumn("client_id", number))
 
 
-def write_client_tables(dealt: DataFrame, path: str, drop_family: bool = True) -> None:
-    """One partition directory per client, without the family column unless it is kept.
+def write_client_tables(
+    dealt: DataFrame, path: str, drop_family: bool = True, files_per_client: int = 16
+) -> None:
+    """One partition directory per client, in shuffled order, without the family column unless it is kept.
 
-    Rows are not gathered by client first: a large client is written by many tasks.
+    Each client is written by up to ``files_per_client`` tasks, so a large client is not one task and a small one
+    not thousands of files.
     """
-    columns = [name for name in ("family", "shuffle_key") if name in dealt.columns and drop_family]
-    dealt.drop(*columns).write.mode("errorifexists").partitionBy("client_id").parquet(path)
+    part = F.pmod(F.xxhash64("shuffle_key"), F.lit(files_per_client))
+    placed = dealt.repartition("client_id", part).sortWithinPartitions("client_id", "shuffle_key")
+    columns = ["shuffle_key"] + (["family"] if drop_family else [])
+    placed.drop(*columns).write.mode("errorifexists").partitionBy("client_id").parquet(path)
 
 
 def label_profile(rows: DataFrame, label: str = "label", top: int = 10) -> DataFrame:

@@ -6,12 +6,14 @@ a writer never rewrites what is there.
 
 from __future__ import annotations
 
+import functools
 import json
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from trustframe.operators.materialize import join_checked, literal_table, settle
@@ -138,44 +140,57 @@ def write_merged(merged: DataFrame, path: str) -> None:
 
 
 def _run_of_file():
-    return F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
+    return F.url_decode(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1))
 
 
-def _exists(spark: SparkSession, pattern: str) -> bool:
-    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
-    return found is not None and len(found) > 0
+def _read_if_any(read: Callable[[str], DataFrame], pattern: str) -> DataFrame | None:
+    try:
+        return read(pattern)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def read_round_files(spark: SparkSession, root: str, strict: bool = False) -> DataFrame:
-    """Round logs exported as ``<root>/<run>/rounds.json`` (an array of records) or ``rounds.csv`` (with a header).
+    """Round logs of every run below ``root``: ``<root>/<run>/rounds.json`` or ``<root>/<run>/rounds.csv``.
 
     Runs are told by their folder; a run that has both files is read from the JSON one. ``strict`` makes a log
     without a ``round`` column an error. Repeated rounds are not removed here, see ``latest_rounds``.
     """
+    return _read_logs(spark, f"{root.rstrip('/')}/*/rounds.json", f"{root.rstrip('/')}/*/rounds.csv", strict)
+
+
+def read_run(spark: SparkSession, path: str) -> DataFrame:
+    """Round log of one run, given its folder or one of its files. A log without ``round`` is an error."""
+    stem = path.rstrip("/")
+    stem = stem.rsplit(".", 1)[0] if stem.endswith((".json", ".csv")) else f"{stem}/rounds"
+    return _read_logs(spark, f"{stem}.json", f"{stem}.csv", strict=True)
+
+
+def _read_logs(spark: SparkSession, json_files: str, csv_files: str, strict: bool) -> DataFrame:
+    """JSON files hold an array of records, CSV files a header and lines; JSON is preferred by run."""
     columns = T._parse_datatype_string(ROUND_SCHEMA.replace("run_name string, ", ""))
     frames = []
-    if _exists(spark, f"{root}/*/rounds.json"):
-        records = spark.read.option("multiLine", True).schema(columns).json(f"{root}/*/rounds.json")
-        frames.append(records.withColumn("run_name", F.regexp_replace(_run_of_file(), "%20", " ")))
-    if _exists(spark, f"{root}/*/rounds.csv"):
-        # Columns differ by strategy, so every file is read by its own header line.
-        lines = spark.read.text(f"{root}/*/rounds.csv", wholetext=True).withColumn("run_name", _run_of_file())
+    records = _read_if_any(spark.read.option("multiLine", True).schema(columns).json, json_files)
+    if records is not None:
+        frames.append(records.withColumn("run_name", _run_of_file()))
+    texts = _read_if_any(lambda pattern: spark.read.text(pattern, wholetext=True), csv_files)
+    if texts is not None:
+        # One small file per run; columns differ by strategy, so every file is read by its own header line.
+        lines = texts.withColumn("run_name", _run_of_file())
         body = lines.select("run_name", F.split(F.trim("value"), r"\r?\n").alias("lines"))
         rows = body.select(
             "run_name", F.split(F.col("lines")[0], ",").alias("names"), F.posexplode("lines").alias("_no", "line")
         ).where("_no > 0 AND line <> ''")
         cells = F.map_from_arrays("names", F.split("line", ",", -1))
-        typed = [_cell(cells, f) for f in columns.fields]
-        csv = rows.select(*typed, "run_name")
+        csv = rows.select(*[_cell(cells, f) for f in columns.fields], "run_name")
         if frames:
             csv = csv.join(frames[0].select("run_name").distinct(), "run_name", "left_anti").select(*csv.columns)
         frames.append(csv)
     if not frames:
-        raise FileNotFoundError(f"no round logs below {root}")
-    rounds = frames[0]
-    for frame in frames[1:]:
-        rounds = rounds.unionByName(frame)
+        raise FileNotFoundError(f"no round logs at {json_files} or {csv_files}")
+    rounds = functools.reduce(DataFrame.unionByName, frames)
     if strict:
         missing = F.raise_error(F.concat(F.lit("no round column in the log of "), F.col("run_name"))).cast("int")
         rounds = rounds.withColumn("round", F.coalesce("round", missing))
