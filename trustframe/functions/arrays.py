@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
-def as_doubles(values: Column) -> Column:
-    return values.cast("array<double>")
-
-
 def add(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x + y)
 

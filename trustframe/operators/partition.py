@@ -10,9 +10,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from trustframe.functions.hashing import keyed_md5, uniform_from_md5
+from trustframe.functions.hashing import keyed_md5, keyed_uniform
 from trustframe.functions.scalars import clip, round_half_even
 from trustframe.operators.materialize import Settled, join_checked, literal_table, settle
 from trustframe.operators.rank import spread_row_number
@@ -62,7 +62,7 @@ def generated_specs(clients: DataFrame, seed: int) -> DataFrame:
         clients.sparkSession, rows, "turn int, kind string, family string, share double, is_main boolean, main double, rest double"
     )
     turn = ((F.col("client_id") - 1) % len(CYCLE)).cast("int")
-    draw = uniform_from_md5(keyed_md5(F.col("client_id"), int(seed), "jitter"))
+    draw = keyed_uniform(F.col("client_id"), int(seed), "jitter")
     drawn = clients.select("client_id").withColumn("turn", turn).withColumn("draw", draw)
     shifted = clip(F.col("main") + (F.col("draw") * 2 - 1) * JITTER, *SHARE_LIMITS)
     fraction = F.when(F.col("is_main"), F.col("shifted")).otherwise(F.col("share"))
@@ -109,7 +109,7 @@ def quota_limits(specs: DataFrame, pools: DataFrame, client_size: int, seed: int
         {
             "rows": F.sum("n").over(own),
             "before": F.sum("n").over(own.orderBy("family")) - F.col("n"),
-            "draw": uniform_from_md5(keyed_md5(F.col("client_id"), int(seed), "trim")),
+            "draw": keyed_uniform(F.col("client_id"), int(seed), "trim"),
         }
     )
     over = F.greatest(F.col("rows") - F.lit(int(client_size)), F.lit(0))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from trustframe.functions import arrays
 from trustframe.functions.scalars import clip
+from trustframe.operators.features import numeric_columns
 from trustframe.operators.materialize import join_checked, settle
 from trustframe.operators.order_stats import DIRECT_ROWS, exact_median, largest_group
 from trustframe.operators.rank import smallest_limit
@@ -181,10 +182,7 @@ def cross_layer_score(
     score is ``1 / (1 + population std of the intensities)``, and 0 with fewer than two layers.
     """
     groups = LAYER_GROUPS if groups is None else groups
-    numeric = {
-        name for name, kind in records.dtypes
-        if kind in ("boolean", "tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal")
-    }
+    numeric = set(numeric_columns(records))
     layers = {layer: [c for c in columns if c in numeric] for layer, columns in groups.items()}
     layers = {layer: columns for layer, columns in layers.items() if columns}
     if len(layers) < 2:

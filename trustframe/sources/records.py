@@ -87,7 +87,9 @@ def read_records(spark: SparkSession, path: str, keep_row_id: bool = True) -> Da
         raise ValueError(f"no records in {path}")
     schema = record_schema(column_names(width))
     if delimiter == COMMA:
-        rows = spark.read.schema(schema).csv(path, sep=COMMA, ignoreLeadingWhiteSpace=True)
+        rows = spark.read.schema(schema).csv(
+            path, sep=COMMA, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True
+        )
     else:
         lines = spark.read.text(path).select(F.trim("value").alias("value")).where("value <> ''")
         rows = lines.select(*parse_fields(F.split("value", r"\s+"), schema))
