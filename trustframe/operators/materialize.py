@@ -37,14 +37,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def keep_for_iteration(df: DataFrame) -> DataFrame:
-    """Persist a table that will be read many times; the caller unpersists it.
-
-    A source that gives fewer partitions than there are cores (one unsplittable file, say) is spread over them
-    evenly first; otherwise the partitions stay as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        df = df.repartition(cores)
+    """Persist a table that will be read many times; the caller unpersists it. Lost blocks are computed again."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 

@@ -125,6 +125,15 @@ def with_row_id(rows: DataFrame, copies_per_task: int = COPIES_PER_TASK) -> Data
     return numbered.select(F.concat_ws("-", "_hash", F.col("_copy").cast("string")).alias("row_id"), *quoted)
 
 
+def spread_scan(rows: DataFrame) -> DataFrame:
+    """Spread a plain scan that Spark cannot split (a compressed text file, one row group) over all cores.
+
+    Worth a shuffle before repeated passes such as training; a scan that has enough partitions is left alone.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def read_client_tables(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """All client tables below ``path``: Parquet partitioned by ``client_id``."""
     reader = spark.read if schema is None else spark.read.schema(schema)
