@@ -100,11 +100,13 @@ def measured_bytes(df: DataFrame) -> int:
 
 
 def join_checked(large: DataFrame, small: Settled, on: list[str], how: str = "inner") -> DataFrame:
-    """Join with a settled table: broadcast when its size was found to allow it, else a shuffled equi join.
+    """Join with a settled table: broadcast when its size was found to allow it, else a sort-merge join.
 
-    Adaptive execution splits the partitions of hot keys in the shuffled form.
+    Adaptive execution splits the partitions of hot keys in the latter. Without keys every row meets every row of
+    the table, so that one has to be small.
     """
-    table = F.broadcast(small.df) if small.small else small.df
-    if on:
-        return large.join(table, on, how)
-    return large.crossJoin(table)
+    if not on:
+        if not small.small:
+            raise ValueError("a join without keys needs a small table")
+        return large.crossJoin(F.broadcast(small.df))
+    return large.join(F.broadcast(small.df) if small.small else small.df.hint("merge"), on, how)
