@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from trustframe.llm import simhash_dedup
+from trustframe.llm import bpe, simhash_dedup
 
 QUERIES = {
     "op7_simhash_dedup": simhash_dedup.simhash_query,
+    "op10_bpe": bpe.bpe_query,
 }
 ORACLES: dict[str, str] = {}
