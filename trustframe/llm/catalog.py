@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from trustframe.llm import bpe, simhash_dedup
+from trustframe.llm import bpe, chat_format, simhash_dedup, token_counts
 
 QUERIES = {
+    "op2_chat_format": chat_format.chat_query,
     "op7_simhash_dedup": simhash_dedup.simhash_query,
+    "op9_token_counts": token_counts.token_query,
     "op10_bpe": bpe.bpe_query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op2_chat_format": chat_format.CHAT_SQL,
+}
