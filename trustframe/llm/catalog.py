@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from trustframe.llm import bpe, chat_format, simhash_dedup, token_counts, topk_search
+from trustframe.llm import bpe, chat_format, language_id, simhash_dedup, token_counts, topk_search
 
 QUERIES = {
     "op2_chat_format": chat_format.chat_query,
     "op3_topk_search": topk_search.topk_query,
+    "op4_language_id": language_id.language_query,
     "op7_simhash_dedup": simhash_dedup.simhash_query,
     "op9_token_counts": token_counts.token_query,
     "op10_bpe": bpe.bpe_query,
