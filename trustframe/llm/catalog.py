@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from trustframe.llm import bpe, chat_format, language_id, simhash_dedup, token_counts, topk_search
+from trustframe.llm import bpe, chat_format, language_id, simhash_dedup, token_counts, topk_search, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.toxicity_query,
     "op2_chat_format": chat_format.chat_query,
     "op3_topk_search": topk_search.topk_query,
     "op4_language_id": language_id.language_query,
