@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
-from trustframe.llm import bpe, chat_format, language_id, simhash_dedup, token_counts, topk_search, toxicity
+from trustframe.llm import (
+    bpe,
+    chat_format,
+    decontaminate,
+    language_id,
+    simhash_dedup,
+    token_counts,
+    topk_search,
+    toxicity,
+)
 
 QUERIES = {
     "op1_toxicity": toxicity.toxicity_query,
@@ -10,6 +19,7 @@ QUERIES = {
     "op3_topk_search": topk_search.topk_query,
     "op4_language_id": language_id.language_query,
     "op7_simhash_dedup": simhash_dedup.simhash_query,
+    "op8_decontaminate": decontaminate.decontaminate_query,
     "op9_token_counts": token_counts.token_query,
     "op10_bpe": bpe.bpe_query,
 }
