@@ -7,6 +7,7 @@ from trustframe.llm import (
     chat_format,
     decontaminate,
     language_id,
+    line_dedup,
     simhash_dedup,
     token_counts,
     topk_search,
@@ -18,6 +19,7 @@ QUERIES = {
     "op2_chat_format": chat_format.chat_query,
     "op3_topk_search": topk_search.topk_query,
     "op4_language_id": language_id.language_query,
+    "op6_line_dedup": line_dedup.line_query,
     "op7_simhash_dedup": simhash_dedup.simhash_query,
     "op8_decontaminate": decontaminate.decontaminate_query,
     "op9_token_counts": token_counts.token_query,
