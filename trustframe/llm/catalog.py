@@ -9,6 +9,7 @@ from trustframe.llm import (
     language_id,
     line_dedup,
     simhash_dedup,
+    substring_dedup,
     token_counts,
     topk_search,
     toxicity,
@@ -19,6 +20,7 @@ QUERIES = {
     "op2_chat_format": chat_format.chat_query,
     "op3_topk_search": topk_search.topk_query,
     "op4_language_id": language_id.language_query,
+    "op5_substring_dedup": substring_dedup.substring_query,
     "op6_line_dedup": line_dedup.line_query,
     "op7_simhash_dedup": simhash_dedup.simhash_query,
     "op8_decontaminate": decontaminate.decontaminate_query,
