@@ -6,7 +6,8 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from trustframe.operators.materialize import ensure_checkpoint_dir, measured_bytes
 
@@ -62,22 +63,28 @@ def sliced(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
             yield batch.slice(start)
 
 
-def map_slices(df: DataFrame, function: Callable, schema: str, text: str = "text") -> DataFrame:
-    """``mapInArrow`` over bounded slices: ``function(slice) -> dict of columns`` in the order of ``schema``."""
-    from pyspark.sql import types as T
-    from pyspark.sql.pandas.types import to_arrow_schema
+def map_slices(df: DataFrame, function: Callable, schema: str | T.StructType, text: str = "text") -> DataFrame:
+    """``mapInArrow`` over bounded slices: ``function(slice) -> dict of columns`` by the names of ``schema``.
 
-    arrow = to_arrow_schema(T._parse_datatype_string(schema))
+    An Arrow column of the slice may be handed on as it is.
+    """
+    kind = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    arrow = to_arrow_schema(kind)
 
     def run(batches):
         for part in sliced(batches, text):
             columns = function(part)
             if columns is not None:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(columns[f.name], type=f.type, from_pandas=False) for f in arrow], schema=arrow
-                )
+                made = [columns[f.name] for f in arrow]
+                made = [c if isinstance(c, pa.Array) else pa.array(c, type=f.type, from_pandas=False) for c, f in zip(made, arrow)]
+                yield pa.RecordBatch.from_arrays(made, names=arrow.names)
+
+    return df.mapInArrow(run, kind)
+
 
-    return df.mapInArrow(run, schema)
+def whole_rows(df: DataFrame, *columns: Column) -> DataFrame:
+    """Each row as one struct ``row``, beside ``columns`` (of names that cannot clash with those inside)."""
+    return df.select(F.struct("*").alias("row")).select("row", *columns)
 
 
 def components(edges: DataFrame, first: str, second: str) -> DataFrame:

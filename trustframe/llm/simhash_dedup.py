@@ -8,7 +8,7 @@ have met in their common fingerprint before.
 Nulls and edge cases: a null text has no words and, like an empty one, fingerprint zero, which links like any other.
 A null ``doc_id`` takes part in links and never names a component, unless all documents of it have none. Repeated
 rows stay repeated in the result of ``near_duplicates``. An empty table gives an empty result. Columns beside id and
-text are not read.
+text are not read; ``drop_near_duplicates`` hands them on.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from trustframe.llm.common import components, map_slices, written
+from trustframe.llm.common import components, map_slices, read_table, whole_rows, written
 
 SEED = 42
 SHINGLE_WORDS = 3
@@ -114,13 +114,11 @@ def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one document of each group: the one of the smallest ``doc_id`` (null before all numbers)."""
     found = near_duplicates(docs, radius=radius)
     keep = found.select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash")).distinct()
-    marked = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_hash": F.xxhash64("text")})
-    same = marked["_id"].eqNullSafe(keep["_id"]) & (marked["_hash"] == keep["_hash"])
-    return marked.join(keep, same, "left_semi").dropDuplicates(["_id", "_hash"]).select(*docs.columns)
+    rows = whole_rows(docs, F.col("row.doc_id").cast("long").alias("id"), F.xxhash64("row.text").alias("hash"))
+    same = rows["id"].eqNullSafe(keep["_id"]) & (rows["hash"] == keep["_hash"])
+    return rows.join(keep, same, "left_semi").dropDuplicates(["id", "hash"]).select("row.*")
 
 
 def simhash_query(spark, sf_dir: str) -> DataFrame:
-    from trustframe.llm.common import read_table
-
     found = near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -13,7 +13,7 @@ most ``max_rows`` labelled documents come to the driver. Every document is score
 Nulls and edge cases: a null text reads as empty and, like a text without letters, casts no votes but still gets a
 score. Labels that are null, or of no document, teach nothing; a document labelled twice counts twice. Without labels of
 both classes the lexicon alone decides. Ties are broken by the stem; repeated rows change nothing. An empty table gives
-an empty result. Columns beside id and text are not read.
+an empty result. Columns beside id and text pass through.
 """
 
 from __future__ import annotations
@@ -23,9 +23,9 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from trustframe.llm.common import map_slices, read_table
+from trustframe.llm.common import map_slices, read_table, whole_rows
 from trustframe.llm.language_id import held_out
 
 # Common insults of four languages.
@@ -284,20 +284,20 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Toxicit
     return ToxicityModel(blank.keys, beta, lexicon)
 
 
-def score(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns ``keep`` of each row with ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on)."""
+def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
+    """Each row as a struct ``row`` with its ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # some hundred stems and weights, whatever the corpus
-    kinds = dict(docs.dtypes)
-    rows = docs.select(*keep, F.col("text").alias("_text"))
+    rows = whole_rows(docs, F.col("row.text").alias("text"))
+    schema = T.StructType([
+        T.StructField("row", docs.schema), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())
+    ])
 
     def run(part: pa.RecordBatch) -> dict:
         matcher = Matcher(shared.value.keys)
-        scores = [shared.value.score(text, matcher) for text in part.column(len(keep)).to_pylist()]
-        columns = {name: part.column(i) for i, name in enumerate(keep)}
-        return columns | {"score": scores, "predicted": [int(s >= 0.5) for s in scores]}
+        scores = [shared.value.score(text, matcher) for text in part.column(1).to_pylist()]
+        return {"row": part.column(0), "score": scores, "predicted": [int(s >= 0.5) for s in scores]}
 
-    schema = ", ".join(f"`{name}` {kinds[name]}" for name in keep) + ", score double, predicted int"
-    return map_slices(rows, run, schema, text="_text")
+    return map_slices(rows, run, schema)
 
 
 def learn(spark, docs: DataFrame, sf_dir: str) -> ToxicityModel:
@@ -307,11 +307,10 @@ def learn(spark, docs: DataFrame, sf_dir: str) -> ToxicityModel:
 
 def toxicity_query(spark, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    found = score(docs, learn(spark, docs, sf_dir))
-    return found.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+    found = score(docs.select("doc_id", "text"), learn(spark, docs, sf_dir))
+    return found.select("row.doc_id", held_out("row.doc_id").alias("held_out"), "score", "predicted")
 
 
 def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``docs`` without the documents that the classifier rejects."""
-    found = score(docs, learn(spark, docs, sf_dir), tuple(docs.columns))
-    return found.where(F.col("predicted") == 0).select(*docs.columns)
+    return score(docs, learn(spark, docs, sf_dir)).where(F.col("predicted") == 0).select("row.*")
