@@ -1,0 +1,57 @@
+from __future__ import annotations
+
+import numpy as np
+import pytest
+
+from trustframe.llm import topk_search
+
+
+def wrapped(x: int) -> int:
+    x &= (1 << 64) - 1
+    return x - (1 << 64) if x >> 63 else x
+
+
+def quantised(vector) -> list[int] | None:
+    if not vector or any(x is None or not np.isfinite(x) for x in vector):
+        return None
+    return [int(min(max(np.floor(256 * x), -(2.0**63)), 2.0**63)) if abs(x) < 1e15 else (2**63 - 1 if x > 0 else -(2**63)) for x in vector]
+
+
+@pytest.mark.parametrize("spread", [0.0, 1.5])
+def test_equals_brute_force(spark, spread):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(1200):
+        n = 3 if i % 7 == 0 else 64
+        vector = (rng.normal(size=n) * rng.lognormal(sigma=spread)).tolist() if spread else (rng.normal(size=n) / np.sqrt(n)).tolist()
+        odd = {1: None, 2: [None, *vector[1:]], 3: [float("nan"), *vector[1:]], 4: [float("inf"), *vector[1:]], 5: [], 6: [0.0] * n, 7: [1.0] * n, 8: [1.0] * n}
+        rows.append((i if i % 97 else None, odd.get(i % 50, vector)))
+    rows += rows[:120] + [(100, [1e300] * 3), (150, [-1e17, 2.0, 3.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "vec_id as uid", "'x' as norm", "1 as dims")
+    got = sorted(map(tuple, topk_search.top_k(frame).collect()))
+    kept = [(i, k, quantised(v)) for k, (i, v) in enumerate(rows) if i is not None and quantised(v)]
+    want = []
+    for i, k, v in kept:
+        if i % 50 == 0:
+            found = sorted((-wrapped(sum(a * b for a, b in zip(v, w))), j) for j, m, w in kept if m != k and len(w) == len(v))[:5]
+            want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(found)]
+    assert got == sorted(want)
+
+
+def test_pruning_keeps_all_that_reach_the_threshold():
+    rng = np.random.default_rng(1)
+    vectors = rng.integers(-300, 300, size=(500, 16))
+    bucket = topk_search.Bucket(np.arange(500), np.arange(500), vectors)
+    for query in rng.integers(-300, 300, size=(40, 16)).astype(float):
+        products = bucket.values @ query
+        length = float(np.sqrt(query @ query))
+        for least in np.quantile(products, [0.05, 0.5, 0.9, 0.99, 1.0]):
+            rows = np.arange(500)[bucket.candidates(query, length, float(least))]
+            assert set(np.flatnonzero(products >= least)) <= set(rows.tolist())
+
+
+def test_empty_table_and_few_rows(spark):
+    schema = "vec_id long, embedding array<float>"
+    assert topk_search.top_k(spark.createDataFrame([], schema)).count() == 0
+    few = spark.createDataFrame([(0, [1.0]), (1, [0.5]), (2, [0.5])], schema)
+    assert sorted(map(tuple, topk_search.top_k(few).collect())) == [(0, 1, 1, 256 * 128), (0, 2, 2, 256 * 128)]
