@@ -62,6 +62,15 @@ def test_row_ids_of_copies(spark, copies_per_task):
     assert numbers == list(range(1, 168))
 
 
+def test_row_ids_tell_nulls_apart(spark):
+    rows = spark.createDataFrame(
+        [(5.0, None, "a", [None, 1]), (None, 5.0, "a", [None, 1]), (5.0, None, "a", [1, None])],
+        "x double, y double, label string, nested array<int>",
+    )
+    ids = [r["row_id"] for r in records.with_row_id(rows).collect()]
+    assert len(set(ids)) == 3 and all(name.endswith("-1") for name in ids)
+
+
 def test_client_tables(spark, tmp_path):
     path = tmp_path / "train.txt"
     path.write_text("\n".join(line(i, "smurf" if i % 2 else "normal") for i in range(40)))
@@ -109,6 +118,21 @@ def test_run_store(spark, tmp_path):
     assert summary["drop_rate"] == 0.5 and summary["trust_separation"] == pytest.approx(0.4)
 
 
+def test_run_store_keeps_scenarios_and_refuses_unknown_columns(spark, tmp_path):
+    store = runs.RunStore(spark, str(tmp_path / "store"))
+    rows = [(s, r, 0.1 * r, 0.2 * s) for s in (0, 1) for r in (1, 2)]
+    rounds = spark.createDataFrame(rows, "scenario_id long, round int, accuracy double, false_negative_rate double")
+    for _ in range(2):
+        store.log_rounds("run", rounds)
+    got = sorted((r["scenario_id"], r["round"], r["accuracy"], r["false_negative_rate"]) for r in store.rounds().collect())
+    assert got == sorted(rows)
+    feedback = spark.createDataFrame([(0, 1, 7, True), (1, 1, 7, False)], "scenario_id long, round int, client_id long, used boolean")
+    store.log_feedback("run", feedback)
+    assert sorted((r["scenario_id"], r["used"]) for r in store.feedback().collect()) == [(0, True), (1, False)]
+    with pytest.raises(ValueError, match="surprise"):
+        store.log_rounds("run", rounds.withColumn("surprise", F.lit(1)))
+
+
 def test_nested_feedback_in_parts(spark):
     rows = spark.range(1, 101).select(
         F.lit(1).alias("round"), F.col("id").alias("client_id"), F.lit(True).alias("used"), F.lit(None).cast("double").alias("trust")

@@ -33,6 +33,8 @@ def test_trimmed_mean(spark, direct_rows):
     assert vector(updates.trimmed_mean(data, 0.2, direct_rows=direct_rows)) == [3.0, 5.0]
     ties = table(spark, [[1], [1], [1], [2], [3], [3], [3], [9]])
     assert vector(updates.trimmed_mean(ties, 0.25, direct_rows=direct_rows)) == [pytest.approx(9 / 4)]
+    diverged = table(spark, [[1.0], [2.0], [3.0], [4.0], [float("nan")]])
+    assert vector(updates.trimmed_mean(diverged, 0.25, direct_rows=direct_rows)) == [2.5]
     assert vector(updates.trimmed_mean(table(spark, [[1], [4]]), 0.49, direct_rows=direct_rows)) == [2.5]
     with pytest.raises(ValueError):
         updates.trimmed_mean(data, 0.5)

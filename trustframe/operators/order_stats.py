@@ -153,8 +153,8 @@ def kth_smallest(
     rows = df.select(
         *keys,
         F.col(value).cast("double").alias("_value"),
-        F.floor(F.col(tie) / half).alias("_high"),
-        F.pmod(F.col(tie), F.lit(half)).alias("_low"),
+        F.shiftright(F.col(tie).cast("long"), 31).alias("_high"),
+        F.col(tie).cast("long").bitwiseAND(F.lit(half - 1)).alias("_low"),
         F.lit(int(k)).cast("long").alias("_position"),
     )
     by = [*keys, "_position"]
@@ -168,7 +168,7 @@ def kth_smallest(
         tied = join_checked(joined.where(F.col(part) == F.col(at)), settle(below), by)
         rows = tied.withColumn("_position", F.col("_place") - F.col("_below")).drop("_place", "_below")
         by = [name for name in by if name != "_place"] + ["_position"]
-    found_tie = (F.col("_high_at") * half + F.col("_low_at")).cast("long")
+    found_tie = F.col("_high_at").cast("long") * half + F.col("_low_at").cast("long")
     return rows.select(*keys, F.col("_value_at").alias(value), found_tie.alias(tie)).distinct()
 
 

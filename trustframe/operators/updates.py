@@ -103,11 +103,11 @@ def trim_count(n: Column, ratio: float) -> Column:
 def trimmed_mean(
     updates: DataFrame, ratio: float, keys: Sequence[str] = KEYS, direct_rows: int = DIRECT_ROWS
 ) -> DataFrame:
-    """Mean by coordinate without the lowest and highest ``floor(ratio * n)`` values."""
+    """Mean by coordinate without the lowest and highest ``floor(ratio * n)`` of the values that are numbers."""
     if not 0.0 <= ratio < 0.5:
         raise ValueError("trim ratio must be in [0, 0.5)")
     by = [*keys, "pos"]
-    coordinates = flatten(updates, keys)
+    coordinates = flatten(updates, keys).where(~F.isnan("value"))
     group_rows = largest_group(updates, list(keys))
     if group_rows <= direct_rows:
         gathered = coordinates.groupBy(*by).agg(F.sort_array(F.collect_list("value")).alias("_sorted"))

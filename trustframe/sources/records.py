@@ -25,6 +25,7 @@ DIFFICULTY = ("difficulty", "difficulty_level")
 COMMA = ","
 WHITE_SPACE = "whitespace"
 COPIES_PER_TASK = 100_000
+NESTED = (T.ArrayType, T.MapType, T.StructType)
 
 
 def column_names(width: int) -> list[str]:
@@ -112,8 +113,11 @@ def with_row_id(rows: DataFrame, copies_per_task: int = COPIES_PER_TASK) -> Data
     columns = rows.columns
     quoted = [F.col(f"`{name}`") for name in columns]
     counted = rows.groupBy(*quoted).agg(F.count(F.lit(1)).alias("_copies"))
-    low = F.hex(F.xxhash64(*quoted))
-    high = F.hex(F.xxhash64(F.lit("row"), *quoted))
+    # hashing skips nulls, so flags tell which column was null, and nested values are hashed in their written form
+    nested = [F.to_json(F.struct(F.col(f"`{f.name}`").alias("v"))) for f in rows.schema.fields if isinstance(f.dataType, NESTED)]
+    content = [*[column.isNull() for column in quoted], *quoted, *nested]
+    low = F.hex(F.xxhash64(*content))
+    high = F.hex(F.xxhash64(F.lit("row"), *content))
     hashed = counted.withColumn("_hash", F.concat(F.lpad(high, 16, "0"), F.lpad(low, 16, "0")))
     chunks = F.sequence(F.lit(0).cast("long"), F.floor((F.col("_copies") - 1) / copies_per_task))
     few = hashed.where(F.col("_copies") <= copies_per_task).withColumn("_chunk", F.lit(0).cast("long"))

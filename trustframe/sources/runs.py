@@ -23,11 +23,11 @@ DIAGNOSTICS = [
     "cosine_sim_min", "cosine_sim_mean", "trust_min", "trust_mean", "loss_stability_mean", "cross_layer_mean",
     "dropped_clients",
 ]
-ROUND_SCHEMA = "run_name string, round int, logged_at timestamp, " + ", ".join(
-    f"{name} double" for name in METRICS + DIAGNOSTICS
+ROUND_SCHEMA = "run_name string, scenario_id long, round int, logged_at timestamp, " + ", ".join(
+    f"{name} double" for name in [*METRICS, "false_negative_rate", *DIAGNOSTICS]
 )
 FEEDBACK_SCHEMA = (
-    "run_name string, round int, logged_at timestamp, client_id long, used boolean, trust double, "
+    "run_name string, scenario_id long, round int, logged_at timestamp, client_id long, used boolean, trust double, "
     "cosine_similarity double, loss_stability double, cross_layer double, notes string"
 )
 CLIENT_SCHEMA = (
@@ -61,7 +61,7 @@ class RunStore:
         return run_name
 
     def log_rounds(self, run_name: str, rounds: DataFrame) -> None:
-        """Append rounds; columns that a strategy does not produce are stored as null."""
+        """Append rounds; columns that a strategy does not produce are stored as null, unknown ones raise."""
         self._append("rounds", ROUND_SCHEMA, run_name, rounds)
 
     def log_feedback(self, run_name: str, feedback: DataFrame) -> None:
@@ -71,6 +71,9 @@ class RunStore:
         fields = T._parse_datatype_string(schema).fields
         stamped = rows if "logged_at" in rows.columns else rows.withColumn("logged_at", F.current_timestamp())
         stamped = stamped.withColumn("run_name", F.lit(run_name))
+        unknown = sorted(set(stamped.columns) - {f.name for f in fields})
+        if unknown:
+            raise ValueError(f"{name} has no column {', '.join(unknown)}")
         columns = [
             (F.col(f.name) if f.name in stamped.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields
         ]
@@ -83,26 +86,30 @@ class RunStore:
         return self._read("runs", RUN_SCHEMA)
 
     def rounds(self) -> DataFrame:
-        """The row logged last of each run and round."""
-        return latest_rounds(self._read("rounds", ROUND_SCHEMA))
+        """The row logged last of each run, scenario and round."""
+        return latest_rounds(self._read("rounds", ROUND_SCHEMA), within=["scenario_id"])
 
     def feedback(self) -> DataFrame:
         return self._read("feedback", FEEDBACK_SCHEMA)
 
 
-def latest_rounds(rounds: DataFrame, run: str = "run_name", tie: Sequence[str] = ()) -> DataFrame:
-    """Keep the row logged last of each run and round: what an upsert would have left.
+def latest_rounds(
+    rounds: DataFrame, run: str = "run_name", tie: Sequence[str] = (), within: Sequence[str] = ()
+) -> DataFrame:
+    """Keep the row logged last of each run and round (and of each value of ``within``): what an upsert would have left.
 
-    A log without ``round`` is a single point, round 1. Works as an aggregate, so repeated rounds are reduced before
+    Rows logged at the same time are told apart by ``tie`` and then by their other plain columns. A log without ``round`` is a single point, round 1. Works as an aggregate, so repeated rounds are reduced before
     the shuffle however often they were logged.
     """
     if "round" not in rounds.columns:
         rounds = rounds.withColumn("round", F.lit(1))
     rounds = rounds.withColumn("round", F.col("round").cast("int"))
-    rest = [name for name in rounds.columns if name not in (run, "round")]
-    order = [F.col(name) for name in ("logged_at", *tie) if name in rounds.columns]
-    pick = F.max_by(F.struct(*rest), F.struct(*order)) if order else F.max(F.struct(*rest))
-    return rounds.groupBy(run, "round").agg(pick.alias("_last")).select(run, "round", "_last.*").select(*rounds.columns)
+    keys = [run, *within, "round"]
+    rest = [f for f in rounds.schema.fields if f.name not in keys]
+    plain = [f.name for f in rest if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    order = list(dict.fromkeys(name for name in ("logged_at", *tie, *plain) if name in rounds.columns))
+    pick = F.max_by(F.struct(*[f.name for f in rest]), F.struct(*order))
+    return rounds.groupBy(*keys).agg(pick.alias("_last")).select(*keys, "_last.*").select(*rounds.columns)
 
 
 def nest_feedback(
