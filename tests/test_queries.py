@@ -6,6 +6,7 @@ import pytest
 from compare import compare, duck
 
 from __spark_entry__ import entry, oracle_sql, queries
+from trustframe.catalog import all_oracles, all_queries
 
 SF_DIR = "/root/testdata/sf0.001"
 ROWS_ONLY = {"local_mlp", "baseline_binary", "baseline_multiclass"}
@@ -18,15 +19,16 @@ def connection():
 
 def test_every_query_has_sql_or_is_known_to_have_none():
     assert set(oracle_sql()) <= set(queries())
-    assert set(queries()) - set(oracle_sql()) == ROWS_ONLY
+    assert set(all_queries()) - set(all_oracles()) == ROWS_ONLY
+    assert set(all_queries()) <= set(queries())
 
 
 def test_entry_has_rows(spark):
     assert entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(all_queries()))
 def test_query(spark, connection, name):
-    rows, message = compare(spark, connection, queries()[name], oracle_sql().get(name), SF_DIR)
+    rows, message = compare(spark, connection, all_queries()[name], all_oracles().get(name), SF_DIR)
     assert message == ""
     assert rows > 0
