@@ -33,15 +33,17 @@ def final_round(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _strategy_logs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Three logs with different columns, one row per round each."""
+    """Five logs with different columns, one row per round each; together they hold every event."""
     rows = run_log(spark, sf_dir).drop("run_name")
-    pick = lambda event: rows.where(F.col("event_type") == event).drop("event_type")
+    kind = F.coalesce("event_type", F.lit(""))
+    pick = lambda chosen: rows.where(chosen).drop("event_type", "event_id")
+    shares = {"loss_stability_mean": 1 / (1 + F.col("accuracy")), "cross_layer_mean": F.when(F.col("round") > 5, 0.5)}
     return {
-        "plain": pick("view").drop("event_id"),
-        "trusting": pick("click").withColumn("trust_mean", F.col("accuracy") / 100).drop("event_id"),
-        "stable": pick("error").withColumns(
-            {"loss_stability_mean": 1 / (1 + F.col("accuracy")), "cross_layer_mean": F.when(F.col("round") > 5, 0.5)}
-        ).drop("event_id"),
+        "plain": pick(~kind.isin("click", "error", "purchase", "signup")),
+        "trusting": pick(kind == "click").withColumn("trust_mean", F.col("accuracy") / 100),
+        "stable": pick(kind == "error").withColumns(shares),
+        "buying": pick(kind == "purchase").withColumn("dropped_clients", F.floor("accuracy").cast("double")),
+        "joining": pick(kind == "signup").withColumn("trust_mean", F.col("accuracy") / 200),
     }
 
 
@@ -51,7 +53,7 @@ def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def merge_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     merged = _merged(spark, sf_dir)
-    numbers = ["accuracy", "trust_mean", "loss_stability_mean", "cross_layer_mean"]
+    numbers = ["accuracy", "trust_mean", "loss_stability_mean", "cross_layer_mean", "dropped_clients"]
     return merged.select("run_name", "round", "logged_at", *[r6(F.col(c)).alias(c) for c in numbers])
 
 
@@ -105,13 +107,16 @@ QUERIES = {
 
 _MERGED = f"""{RUN_LOG_SQL},
 named AS (
-  SELECT CASE event_type WHEN 'view' THEN 'plain' WHEN 'click' THEN 'trusting' WHEN 'error' THEN 'stable' END AS run_name,
-         round, logged_at, accuracy, event_type
-  FROM log WHERE event_type IN ('view', 'click', 'error')),
+  SELECT CASE event_type WHEN 'click' THEN 'trusting' WHEN 'error' THEN 'stable' WHEN 'purchase' THEN 'buying'
+                         WHEN 'signup' THEN 'joining' ELSE 'plain' END AS run_name,
+         round, logged_at, accuracy
+  FROM log),
 merged AS (
-  SELECT run_name, round, logged_at, accuracy, CASE WHEN run_name = 'trusting' THEN accuracy / 100 END AS trust_mean,
+  SELECT run_name, round, logged_at, accuracy,
+         CASE run_name WHEN 'trusting' THEN accuracy / 100 WHEN 'joining' THEN accuracy / 200 END AS trust_mean,
          CASE WHEN run_name = 'stable' THEN 1 / (1 + accuracy) END AS loss_stability_mean,
-         CASE WHEN run_name = 'stable' AND round > 5 THEN 0.5::DOUBLE END AS cross_layer_mean
+         CASE WHEN run_name = 'stable' AND round > 5 THEN 0.5::DOUBLE END AS cross_layer_mean,
+         CASE WHEN run_name = 'buying' THEN floor(accuracy)::DOUBLE END AS dropped_clients
   FROM named QUALIFY row_number() OVER (PARTITION BY run_name, round ORDER BY logged_at DESC) = 1)"""
 _LATEST = f"""{RUN_LOG_SQL},
 latest AS (SELECT * FROM log
@@ -129,7 +134,7 @@ QUALIFY row_number() OVER (PARTITION BY run_name ORDER BY round DESC) = 1""",
     "merge_runs": f"""
 WITH {_MERGED} SELECT run_name, round, logged_at, round(accuracy, 6) + 0.0 AS accuracy,
        round(trust_mean, 6) + 0.0 AS trust_mean, round(loss_stability_mean, 6) + 0.0 AS loss_stability_mean,
-       round(cross_layer_mean, 6) + 0.0 AS cross_layer_mean
+       round(cross_layer_mean, 6) + 0.0 AS cross_layer_mean, round(dropped_clients, 6) + 0.0 AS dropped_clients
 FROM merged""",
     "metric_series": f"""
 WITH {_MERGED}, long AS (
@@ -139,10 +144,11 @@ WITH {_MERGED}, long AS (
 SELECT run_name, round, metric, round(value, 6) + 0.0 AS value FROM long WHERE value IS NOT NULL""",
     "defense_signal": f"""
 WITH {_MERGED}
-SELECT run_name, round, CASE run_name WHEN 'trusting' THEN 'trust_mean' WHEN 'stable' THEN 'loss_stability_mean'
+SELECT run_name, round, CASE run_name WHEN 'trusting' THEN 'trust_mean' WHEN 'joining' THEN 'trust_mean'
+                        WHEN 'buying' THEN 'dropped_clients' WHEN 'stable' THEN 'loss_stability_mean'
                         ELSE 'accuracy' END AS signal,
-       round(CASE run_name WHEN 'trusting' THEN trust_mean WHEN 'stable' THEN loss_stability_mean
-             ELSE accuracy END, 6) + 0.0 AS value
+       round(CASE run_name WHEN 'trusting' THEN trust_mean WHEN 'joining' THEN trust_mean
+             WHEN 'buying' THEN dropped_clients WHEN 'stable' THEN loss_stability_mean ELSE accuracy END, 6) + 0.0 AS value
 FROM merged""",
     "run_select": f"""
 WITH {RUN_LOG_SQL} SELECT run_name, count(*) AS n, max(round) AS last_round FROM log

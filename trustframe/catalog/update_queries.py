@@ -20,10 +20,13 @@ def _coordinates(merged: DataFrame, *columns: str) -> DataFrame:
 
 
 def scalar_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = F.element_at("values", 1)
+    """Every scalar function over every coordinate."""
+    x = F.col("x")
     y = (F.col("client_id") % 2).cast("double")
-    return updates(spark, sf_dir, scaled=True).select(
+    rows = updates(spark, sf_dir, scaled=True).select("client_id", "label", F.posexplode("values").alias("pos", "x"))
+    return rows.select(
         "client_id",
+        F.col("pos").cast("long").alias("pos"),
         r6(scalars.sigmoid(x)).alias("sigmoid"),
         scalars.predict_at_half(x).cast("long").alias("predicted"),
         r6(scalars.clip(x, -0.1, 0.1)).alias("clipped"),
@@ -175,8 +178,8 @@ cut AS (SELECT *, CASE WHEN 2 * floor({TRIM} * n) < n THEN floor({TRIM} * n) ELS
 
 ORACLES = {
     "scalar_pack": f"""
-WITH {_SCALED}, one AS (SELECT client_id, label, value AS x, (client_id % 2)::DOUBLE AS y FROM upd WHERE pos = 0)
-SELECT client_id, round(1 / (1 + exp(-x)), 6) + 0.0 AS sigmoid,
+WITH {_SCALED}, one AS (SELECT client_id, label, pos, value AS x, (client_id % 2)::DOUBLE AS y FROM upd)
+SELECT client_id, pos::BIGINT AS pos, round(1 / (1 + exp(-x)), 6) + 0.0 AS sigmoid,
        CASE WHEN 1 / (1 + exp(-x)) >= 0.5 THEN 1 ELSE 0 END::BIGINT AS predicted,
        round(greatest(-0.1::DOUBLE, least(0.1::DOUBLE, x)), 6) + 0.0 AS clipped,
        floor(x * 10)::BIGINT AS floored,
