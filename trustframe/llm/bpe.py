@@ -22,6 +22,7 @@ import unicodedata
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 from trustframe.llm.common import map_slices
 
 NO_RANK = np.iinfo(np.int32).max
-# Words remembered by a Python worker before it starts anew.
+# Pieces between white space that a Python worker remembers before it starts anew.
 REMEMBERED = 200_000
 
 # Ranges of code points that are letters or numbers in newer Unicode versions only. The library's
@@ -50,6 +51,8 @@ NEWER_LOWER = {
     0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB,
     0xA7DC: 0x19B,
 } | {c: c + 32 for c in range(0x10D50, 0x10D66)} | {c: c + 27 for c in range(0x16EA0, 0x16EB9)}
+# These split a text for Python, and are marks like others for the library.
+SEPARATORS = "\x1c\x1d\x1e\x1f"
 SPLIT = (
     rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--[{NOT_YET_ALPHANUMERIC}]]+|[\p{{N}}--[{NOT_YET_ALPHANUMERIC}]]"
     rf"|[[^\s\p{{L}}\p{{N}}]||[{NOT_YET_ALPHANUMERIC}]]+"
@@ -89,11 +92,11 @@ class WordBpe:
         self.newer = regex.compile("[" + "".join(map(chr, NEWER_LOWER)) + "]")
         self.known: dict[str, tuple[int, str, str]] = {}
 
-    def words(self, text: str) -> list[str]:
-        """Normalised words of a text; special strings stay as they are."""
+    def chunks(self, text: str) -> list[str]:
+        """Normalised pieces of a text between white space; special strings stay as they are."""
         if "<|" in text:
             parts = self.specials.split(text)
-            return [w for i, part in enumerate(parts) for w in ([part] if i % 2 else self._plain(part))]
+            return [c for i, part in enumerate(parts) for c in ([part] if i % 2 else self._plain(part))]
         return self._plain(text)
 
     def _plain(self, text: str) -> list[str]:
@@ -103,7 +106,18 @@ class WordBpe:
                 text = text.replace("Σ", "σ")  # the library lowers each letter by itself, so no final form
             if self.newer.search(text):
                 text = text.translate(NEWER_LOWER)
-        return self.pattern.findall(text.lower())
+        text = text.lower()
+        if any(c in text for c in SEPARATORS):
+            return self.pattern.findall(text)
+        return text.split()
+
+    def words(self, chunk: str) -> list[str]:
+        """Words of a chunk. Most are letters with or without one mark at the end, which needs no pattern."""
+        if chunk.isalpha() or chunk in self.special:
+            return [chunk]
+        if chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():
+            return [chunk[:-1], chunk[-1]]
+        return self.pattern.findall(chunk)
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = (left << 20) | right
@@ -111,8 +125,8 @@ class WordBpe:
         at[at == len(self.keys)] = 0
         return np.where(self.keys[at] == key, self.ranks[at], NO_RANK)
 
-    def merge_words(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of each (normalised, non-empty) word."""
+    def merge_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of (normalised, non-empty) words, one after the other, and the number of ids of each."""
         raw = [word.encode("utf-8") for word in words]
         sizes = np.array([len(r) for r in raw])
         flat = np.frombuffer(b"".join(raw), dtype=np.uint8)
@@ -122,16 +136,15 @@ class WordBpe:
         rank = np.full(len(symbols), NO_RANK, dtype=np.int32)  # of the pair that begins here
         inside = np.flatnonzero(word[:-1] == word[1:])
         rank[inside] = self._rank(symbols[inside], symbols[inside + 1])
-        out: list[np.ndarray] = [np.empty(0, dtype=np.int64)] * len(words)
+        ended: list[tuple[np.ndarray, np.ndarray]] = []
         while len(symbols):
             starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
             lengths = np.diff(np.r_[starts, len(word)])
             lowest = np.minimum.reduceat(rank, starts)
             done = lowest == NO_RANK
             if done.any():
-                for s, n in zip(starts[done].tolist(), lengths[done].tolist()):
-                    out[word[s]] = symbols[s : s + n].copy()
                 stay = np.repeat(~done, lengths)
+                ended.append((word[~stay], symbols[~stay]))
                 symbols, word, rank = symbols[stay], word[stay], rank[stay]
                 lowest, lengths = lowest[~done], lengths[~done]
                 if not len(symbols):
@@ -145,29 +158,41 @@ class WordBpe:
             place = np.cumsum(keep) - 1
             symbols, word, rank = symbols[keep], word[keep], rank[keep]
             at = place[hit]
-            changed = np.unique(np.r_[at, at[at > 0] - 1])
-            rank[changed] = NO_RANK
-            changed = changed[changed + 1 < len(symbols)]
-            changed = changed[word[changed] == word[changed + 1]]
+            touched = np.zeros(len(symbols), dtype=bool)
+            touched[at] = touched[at - (at > 0)] = True
+            rank[touched] = NO_RANK
+            touched[:-1] &= word[:-1] == word[1:]
+            touched[-1] = False
+            changed = np.flatnonzero(touched)
             rank[changed] = self._rank(symbols[changed], symbols[changed + 1])
-        return out
+        word, symbols = (np.concatenate([part[i] for part in ended]) for i in (0, 1))
+        order = np.argsort(word, kind="stable")
+        return symbols[order], np.bincount(word, minlength=len(words))
 
     def decode(self, ids) -> str:
         """Tokens joined by one space, special ones included; the file names no decoder."""
         return " ".join([self.tokens[i] for i in ids])
 
-    def learn(self, words: set[str]) -> None:
-        """Remember ``(count, ids as text, decoded)`` of new words."""
+    def learn(self, chunks: set[str]) -> None:
+        """Remember ``(count, ids as text, decoded)`` of new chunks."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        new = [word for word in words if word not in self.known]
-        for word in [w for w in new if w in self.special]:
-            self.known[word] = (1, str(self.special[word]), word)
-        new = [word for word in new if word not in self.special]
-        if new:
-            for word, ids in zip(new, self.merge_words(new)):
-                row = ids.tolist()
-                self.known[word] = (len(row), " ".join(map(str, row)), self.decode(row))
+        new = {chunk: self.words(chunk) for chunk in chunks if chunk not in self.known}
+        words = list({word for found in new.values() for word in found if word not in self.special})
+        made = {word: (1, str(index), word) for word, index in self.special.items()}
+        if words:
+            ids, counts = self.merge_words(words)
+            texts, tokens = [str(i) for i in ids.tolist()], [self.tokens[i] for i in ids.tolist()]
+            at = 0
+            for word, n in zip(words, counts.tolist()):
+                made[word] = (n, " ".join(texts[at : at + n]), " ".join(tokens[at : at + n]))
+                at += n
+        for chunk, found in new.items():
+            if len(found) == 1:
+                self.known[chunk] = made[found[0]]
+            else:
+                n, ids, decoded = zip(*[made[word] for word in found])
+                self.known[chunk] = (sum(n), " ".join(ids), " ".join(decoded))
 
 
 @lru_cache(maxsize=2)
@@ -187,12 +212,12 @@ def encode(docs: DataFrame, path: str, outputs: tuple[str, ...], id_col: str = "
 
     def run(part: pa.RecordBatch) -> dict:
         model = load(path)
-        texts = [model.words(text or "") for text in part.column(1).to_pylist()]
-        model.learn({word for words in texts for word in words})
+        texts = [model.chunks(text or "") for text in part.column(1).to_pylist()]
+        model.learn({chunk for chunks in texts for chunk in chunks})
         known = model.known
         columns: dict = {"doc_id": part.column(0)} | {name: [] for name in outputs}
-        for words in texts:
-            found = [known[word] for word in words]
+        for chunks in texts:
+            found = [known[chunk] for chunk in chunks]
             ids, decoded = " ".join([f[1] for f in found]), " ".join([f[2] for f in found])
             for name in outputs:
                 columns[name].append(
@@ -208,8 +233,6 @@ def encode(docs: DataFrame, path: str, outputs: tuple[str, ...], id_col: str = "
 
 def decode(rows: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """``rows`` with the text of an array of ids; null stays null."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def text(ids: pd.Series) -> pd.Series:
         model = load(path)
