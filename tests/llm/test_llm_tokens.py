@@ -50,6 +50,16 @@ def test_word_bpe_knows_the_code_points_of_the_library():
         assert [int(i) for c in chunks for i in model.known[c][1].split()] == want.ids, hex(ord(text[1]))
 
 
+def test_only_the_exact_special_string_is_special():
+    library, model = Tokenizer.from_file(WORDS), bpe.WordBpe(WORDS)
+    texts = ["<|ENDOFTEXT|>", "<|EndOfText|> a", "a <|STARTOFTEXT|> b <|startoftext|> <|endoftext|>", "<|ENDOFTEXT|><|endoftext|>"]
+    for text, want in zip(texts, library.encode_batch(texts, add_special_tokens=False)):
+        chunks = model.chunks(text)
+        model.learn(set(chunks))
+        assert [int(i) for c in chunks for i in model.known[c][1].split()] == want.ids, text
+        assert " ".join(model.known[c][2] for c in chunks) == library.decode(want.ids, skip_special_tokens=False)
+
+
 @pytest.mark.parametrize("source", ["odd", "sf"])
 def test_encoded_documents_round_trip(spark, source):
     docs = odd_documents(spark) if source == "odd" else read_table(spark, SF, "documents")

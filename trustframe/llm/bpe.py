@@ -90,13 +90,13 @@ class WordBpe:
         self.pattern = regex.compile(SPLIT)
         self.specials = regex.compile("(" + "|".join(regex.escape(s) for s in self.special) + ")")
         self.newer = regex.compile("[" + "".join(map(chr, NEWER_LOWER)) + "]")
-        self.known: dict[str, tuple[int, str, str]] = {}
+        self.known: dict[str | tuple[str], tuple[int, str, str]] = {}
 
-    def chunks(self, text: str) -> list[str]:
-        """Normalised pieces of a text between white space; special strings stay as they are."""
+    def chunks(self, text: str) -> list[str | tuple[str]]:
+        """Normalised pieces of a text between white space; a special string is a tuple, which no plain piece equals."""
         if "<|" in text:
             parts = self.specials.split(text)
-            return [c for i, part in enumerate(parts) for c in ([part] if i % 2 else self._plain(part))]
+            return [c for i, part in enumerate(parts) for c in ([(part,)] if i % 2 else self._plain(part))]
         return self._plain(text)
 
     def _plain(self, text: str) -> list[str]:
@@ -113,7 +113,7 @@ class WordBpe:
 
     def words(self, chunk: str) -> list[str]:
         """Words of a chunk. Most are letters with or without one mark at the end, which needs no pattern."""
-        if chunk.isalpha() or chunk in self.special:
+        if chunk.isalpha():
             return [chunk]
         if chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():
             return [chunk[:-1], chunk[-1]]
@@ -173,13 +173,14 @@ class WordBpe:
         """Tokens joined by one space, special ones included; the file names no decoder."""
         return " ".join([self.tokens[i] for i in ids])
 
-    def learn(self, chunks: set[str]) -> None:
+    def learn(self, chunks: set[str | tuple[str]]) -> None:
         """Remember ``(count, ids as text, decoded)`` of new chunks."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
+        self.known.update({(string,): (1, str(index), string) for string, index in self.special.items()})
         new = {chunk: self.words(chunk) for chunk in chunks if chunk not in self.known}
-        words = list({word for found in new.values() for word in found if word not in self.special})
-        made = {word: (1, str(index), word) for word, index in self.special.items()}
+        words = list({word for found in new.values() for word in found})
+        made = {}
         if words:
             ids, counts = self.merge_words(words)
             texts, tokens = [str(i) for i in ids.tolist()], [self.tokens[i] for i in ids.tolist()]
