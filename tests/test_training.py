@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trustframe.operators import trust
+from trustframe.operators import materialize, trust
 from trustframe.plans import learners, mlp, training
 
 COLUMNS = learners.Columns(("a", "b"))
@@ -169,3 +169,22 @@ def test_local_mlp_equals_the_same_steps_outside_spark(spark, data):
         assert rows[client]["values"] == pytest.approx((end - np.array(start)).tolist(), abs=1e-12)
         assert rows[client]["loss_after"] == pytest.approx(mlp.mean_loss(end, x, y, (6, 4)))
         assert rows[client]["loss_before"] == pytest.approx(mlp.mean_loss(np.array(start), x, y, (6, 4)))
+
+
+def test_rows_held_in_memory_change_no_result(spark, data):
+    found = []
+    for limit in (100, 100_000):  # below and above the rows of a client
+        learner = learners.MlpLearner(hidden=(8, 4), lr=0.01, batch_size=32, epochs=2, rows_per_task=limit)
+        state = spark.createDataFrame([(0, learner.initial(COLUMNS, 1))], "scenario_id int, weights array<double>")
+        rows = learner.train(data[0], COLUMNS, state, [learners.Scenario(0, (2,), 0.5)], 1, 1).collect()
+        found.append(sorted(tuple(r) for r in rows))
+    assert len(found[0]) == 4 and found[0] == found[1]
+
+
+def test_many_states_are_scored_in_slices(spark, data, monkeypatch):
+    monkeypatch.setattr(learners, "STATE_SLICE", 2)
+    learner = learners.MlpLearner(hidden=(8, 4))
+    states = [(s, r, learner.initial(COLUMNS, 10 * s + r)) for s in range(2) for r in range(1, 4)]
+    frame = spark.createDataFrame(states, "scenario_id int, round int, weights array<double>")
+    count = lambda small: sorted(map(tuple, learner.predictions(data[1], COLUMNS, materialize.Settled(frame, small)).collect()))
+    assert len(count(True)) == 24 and count(False) == count(True)
