@@ -290,6 +290,25 @@ def test_leaks_of_odd_tables(spark):
     assert decontaminate.leaks(no_documents(spark), items).count() == 0
 
 
+def test_repeated_items_and_shared_shingles_have_their_true_weight(spark):
+    rng = random.Random(12)
+    word = lambda: f"q{rng.randrange(10**6)}"
+    template = [word() for _ in range(12)]
+    items = [(i, " ".join([word() for _ in range(60)])) for i in range(5)]
+    # text of many items in a window's place of other words: it weighs less than words of no item
+    items += [(10 + i, " ".join([*template, *[word() for _ in range(8)]])) for i in range(30)]
+    docs = []
+    for i in range(5):
+        passage = items[i][1].split(" ")
+        docs += [(10 * i + k, " ".join([*passage[:at], *template[: 60 - at]])) for k, at in enumerate(range(50, 58))]
+        docs += [(1000 + 10 * i + k, " ".join([*passage[:at], *[word() for _ in range(60 - at)]])) for k, at in enumerate(range(50, 58))]
+    want = plain_leaks(docs, items)
+    repeated = items[:3] * 3 + items[3:]
+    frames = [spark.createDataFrame(rows, f"{name} long, text string") for rows, name in ((docs, "doc_id"), (repeated, "item_id"))]
+    got = {(r.doc_id, r.item_id): round(r.similarity, 6) for r in decontaminate.leaks(*frames).collect()}
+    assert got == want and len(want) > 20
+
+
 # ---- pipeline
 
 

@@ -64,10 +64,13 @@ def _held(df: DataFrame, **columns: Column) -> DataFrame:
     return kept.select(*df.columns, *[F.col(f"_row.{name}").alias(name) for name in columns])
 
 
-def prepare_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """``(item_id, n, grams, weights, fp)``; ``weights`` are those of ``grams``, in order."""
+def prepare_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """``(item_id, n, grams, weights, fp)``; ``weights`` are those of ``grams``, in order. Repeated items count once.
+
+    Beside it ``(gram, less)`` of the shingles of several items: how far their weight is below that of a rare one.
+    """
     rows = benchmark.select(F.col(id_col).cast("long").alias("item_id"), word_array(F.col(text_col)).alias("words"))
-    rows = rows.where(F.size("words") > 0).select("item_id", "words", F.size("words").alias("n"))
+    rows = rows.where(F.size("words") > 0).select("item_id", "words", F.size("words").alias("n")).distinct()
     items = written(_held(rows, grams=shingles(F.col("words"))), "items")
     total = items.count()
     seen = items.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
@@ -77,7 +80,9 @@ def prepare_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
     made = packed.select("item_id", "n", "words", F.col("g.gram").alias("grams"), F.col("g.weight").alias("weights"))
     hashed = _held(made, hashes=F.transform("grams", lambda g: F.xxhash64(g)))
     top = 1.0 + float(_log((total + 1) / 2.0))
-    return written(hashed.select("item_id", "n", "words", "grams", "weights", fingerprint("hashes").alias("fp"), F.lit(top).alias("rare")), "items")
+    common = written(seen.where("df > 1").select("gram", (F.lit(top) - weight).alias("less")), "common")
+    made = hashed.select("item_id", "n", "words", "grams", "weights", fingerprint("hashes").alias("fp"), F.lit(top).alias("rare"))
+    return written(made, "items"), common
 
 
 def _log(x: float) -> float:
@@ -118,7 +123,7 @@ def leaks(
 
     ``start`` counts the document's words from 0.
     """
-    items = prepare_items(benchmark)
+    items, common = prepare_items(benchmark)
     sizes = items.select(F.least("n", F.lit(SHINGLE)).alias("k")).distinct().collect()  # five values at most
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     worded = _held(source, words=word_array(F.col("text"))).drop("text")
@@ -141,10 +146,10 @@ def leaks(
     gramed = _held(windows.select("doc_id", "text_hash", "n", "start", "words"), w_grams=shingles(F.col("words"))).drop("words")
     hashed = _held(gramed, hashes=F.transform("w_grams", lambda g: F.xxhash64(g)))
     printed = _held(hashed, w_fp=fingerprint("hashes")).drop("hashes")
-    return _verified(printed, items, similarity, radius)
+    return _verified(printed, items, common, similarity, radius)
 
 
-def _verified(windows: DataFrame, items: DataFrame, similarity: float, radius: int) -> DataFrame:
+def _verified(windows: DataFrame, items: DataFrame, common: DataFrame, similarity: float, radius: int) -> DataFrame:
     masks = block_masks(radius)
     mask_array = F.array(*[F.lit(mask) for mask in masks])
 
@@ -157,6 +162,9 @@ def _verified(windows: DataFrame, items: DataFrame, similarity: float, radius: i
     apart = F.col("fp").bitwiseXOR(F.col("w_fp"))
     earlier = F.exists(F.slice(mask_array, 1, F.col("block")), lambda mask: apart.bitwiseAND(mask) == 0)
     near = pairs.where(F.bit_count(apart) <= radius).where(~earlier)
+    near = written(near.drop("fp", "w_fp", "block", "_part").withColumn("_pair", F.monotonically_increasing_id()), "near")
+    beside = near.select("_pair", F.explode(F.array_except("w_grams", "grams")).alias("gram")).join(sized(common), "gram")
+    near = near.join(beside.groupBy("_pair").agg(F.sum("less").alias("_less")), "_pair", "left")
     weighed = near.select(
         "doc_id", "text_hash", "item_id", "start",
         F.aggregate(
@@ -164,7 +172,7 @@ def _verified(windows: DataFrame, items: DataFrame, similarity: float, radius: i
             lambda s, p: s + F.when(F.array_contains("w_grams", p["g"]), p["w"]).otherwise(0.0),
         ).alias("_shared"),
         F.aggregate("weights", F.lit(0.0), lambda s, w: s + w).alias("_item"),
-        (F.size(F.array_except("w_grams", "grams")) * F.col("rare")).alias("_other"),
+        (F.size(F.array_except("w_grams", "grams")) * F.col("rare") - F.coalesce("_less", F.lit(0.0))).alias("_other"),
     )
     scored = weighed.select("doc_id", "text_hash", "item_id", "start", (F.col("_shared") / (F.col("_item") + F.col("_other"))).alias("similarity"))
     best = F.max(F.struct("similarity", (-F.col("start")).alias("_first")))
