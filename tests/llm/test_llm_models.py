@@ -102,3 +102,14 @@ def test_label_model_learns_rates_label_noise_and_shares_weight_among_copies():
     assert model.correlation[0, 1] > 0.9 and model.weight[0] < 0.4 < 0.9 < model.weight[3]
     assert abs(model.label_rates[0] - 0.9) < 0.07 and abs(model.label_rates[1] - 0.1) < 0.05
     assert ((posterior > 0.5) == truth).mean() > (labels == truth).mean()
+
+
+def test_toxicity_fits_on_the_features_it_scores(spark, monkeypatch):
+    seen, fit_logistic = [], toxicity.fit_logistic
+    monkeypatch.setattr(toxicity, "fit_logistic", lambda x, *rest: seen.append(x) or fit_logistic(x, *rest))
+    docs, labels = (read_table(spark, "/root/testdata/sf0.01", name) for name in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    matcher = toxicity.Matcher(model.keys)
+    texts = [r.text for r in docs.join(labels.where("toxic IN (0, 1)"), "doc_id").select("text").collect()]
+    want = [model.features(*toxicity.votes(text, matcher)).round(9).tolist() for text in texts]
+    assert sorted(seen[0].round(9).tolist()) == sorted(want)

@@ -268,15 +268,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Toxicit
         model.beta[0], model.beta[-2] = -2.0, 4.0
         return model
     kept = choose_voters(stems_found, rows) + list(range(len(stems_found), len(keys)))
-    number = {voter: i for i, voter in enumerate(kept)}
-    lexicon = frozenset(i for voter, i in number.items() if voter >= len(stems_found))
+    lexicon = frozenset(i for i, voter in enumerate(kept) if voter >= len(stems_found))
     blank = ToxicityModel(tuple(keys[voter] for voter in kept), np.zeros(0), lexicon)
+    rows = collect_votes(sampled, blank.keys)  # by the chosen voters alone, as when scoring
     features = np.zeros((len(rows), feature_count(len(kept))))
-    matcher = Matcher(blank.keys)
     for i, row in enumerate(rows):
-        counts = {number[v]: n for v, n in zip(row["voters"], row["counts"]) if v in number}
-        features[i] = blank.features(counts, min(row["hits"], sum(counts.values())), row["fired"], row["words"])
-    del matcher
+        features[i] = blank.features(dict(zip(row["voters"], row["counts"])), row["hits"], row["fired"], row["words"])
     labels_given = np.array([row["toxic"] for row in rows])
     _, posterior = fit_label_model(features[:, : len(kept) + len(PATTERNS)], labels_given)
     weight = np.where(labels_given == 1, 1 / shares[1], 1 / shares[0])
