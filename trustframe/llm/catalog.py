@@ -6,6 +6,7 @@ from trustframe.llm import (
     bpe,
     chat_format,
     decontaminate,
+    exact_dedup,
     language_id,
     line_dedup,
     simhash_dedup,
@@ -26,8 +27,10 @@ QUERIES = {
     "op8_decontaminate": decontaminate.decontaminate_query,
     "op9_token_counts": token_counts.token_query,
     "op10_bpe": bpe.bpe_query,
+    "op12_exact_dedup": exact_dedup.exact_query,
 }
 ORACLES = {
     "op2_chat_format": chat_format.CHAT_SQL,
     "op3_topk_search": topk_search.TOPK_SQL,
+    "op12_exact_dedup": exact_dedup.EXACT_SQL,
 }
