@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.01"
 
 def test_all_are_registered():
     names = [name for name in queries() if name.startswith("op")]
-    assert sorted(int(name[2:].split("_")[0]) for name in names) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in names) == list(range(1, 14))
     assert set(catalog.QUERIES) <= set(queries()) and "pipeline" in queries()
     assert set(catalog.ORACLES) <= set(oracle_sql())
 

@@ -1,0 +1,102 @@
+"""Ranked search against a loop over all items and documents, and shared sums against plain ones."""
+
+from __future__ import annotations
+
+import math
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from llm_tables import no_documents, odd_documents, odd_rows
+
+from trustframe.llm import lexical_search as search
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+ITEMS = "item_id long, text string, score string"
+
+
+def plain_terms(text):
+    return TERM.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def brute(docs, items, k):
+    counts = [(d, Counter(plain_terms(t))) for d, t in docs]
+    counts = [(d, c) for d, c in counts if c]
+    n_docs, length = len(counts), sum(sum(c.values()) for _, c in counts)
+    df = Counter(t for _, c in counts for t in c)
+    wanted = {}
+    for item, text in items:
+        wanted.setdefault(item, set()).update(plain_terms(text))
+    out = []
+    for item, query in wanted.items():
+        scored = []
+        for d, c in counts:
+            m = 100 - 90 + 90 * sum(c.values()) * n_docs // length
+            score = sum(
+                math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * (10**9 * c[t] // (1000 * c[t] + 8 * m))
+                for t in query if c[t]
+            )
+            if score > 0:
+                scored.append((-score, d is None, d or 0))
+        out += [(item, rank, None if null else d, -score) for rank, (score, null, d) in enumerate(sorted(scored)[:k], 1)]
+    return sorted(map(repr, out))
+
+
+def check(spark, docs, frame, items, **options):
+    table = spark.createDataFrame([(i, t, "x") for i, t in items], ITEMS)
+    found = search.search(frame, table, **options).collect()
+    assert sorted(repr((r.item_id, r["rank"], r.doc_id, r.score)) for r in found) == brute(docs, items, options.get("k", search.K))
+
+
+def test_terms():
+    for text in ["a-B c", "Ünï_c9", "\x00x\x7fy", "漢字 é́", "", "...", "don't", "A[B]C{D}", " x"]:
+        assert [t.decode() for t in search.terms(text)] == plain_terms(text)
+    assert search.terms(None) == []
+
+
+def test_odd_documents(spark):
+    items = [(1, "the quick FOX over no id"), (1, "same id first"), (None, "word5 of3 of4 漢字"), (2, None), (3, ""), (4, "!!"), (5, "absent")]
+    check(spark, [r[:2] for r in odd_rows()], odd_documents(spark), items)
+
+
+@pytest.mark.parametrize("block_bytes", [200, search.BLOCK_BYTES])
+def test_random_texts_ties_and_blocks(spark, block_bytes, monkeypatch):
+    """Copies tie at the last rank; items in several blocks; accumulators in blocks of a few documents."""
+    monkeypatch.setattr(search, "ARRAY_BYTES", 2000)
+    draw = random.Random(3)
+    words = [f"w{i}" for i in range(40)]
+    text = lambda n: " ".join(draw.choices(words, weights=range(1, 41), k=n))
+    docs = [(i, text(draw.randrange(30))) for i in range(200)] + [(1000 - i, "w39 w38 w1") for i in range(50)]
+    items = [(i, text(draw.randrange(1, 12))) for i in range(25)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    check(spark, docs, frame, items, block_bytes=block_bytes, k=7)
+
+
+def test_empty_tables(spark):
+    none = spark.createDataFrame([], ITEMS)
+    some = spark.createDataFrame([(1, "word", "")], ITEMS)
+    assert search.search(no_documents(spark), some).count() == 0
+    assert search.search(odd_documents(spark), none).count() == 0
+
+
+def test_shared_sums_equal_plain_sums():
+    draw = random.Random(11)
+    for n_terms, n_items, size in [(30, 20, 12), (200, 40, 90), (5, 9, 5), (10, 1, 4)]:
+        items = [set(draw.sample(range(n_terms), draw.randrange(1, min(size, n_terms) + 1))) for _ in range(n_items)]
+        items += items[:3]
+        shared = search.share(items, n_terms)
+        values = np.array([draw.randrange(1000) for _ in range(n_terms)] + [0] * len(shared.nodes))
+        for i, node in enumerate(shared.nodes):
+            assert max(node) < n_terms + i
+            values[n_terms + i] = values[list(node)].sum()
+        assert [values[list(q)].sum() for q in shared.queries] == [values[list(item)].sum() for item in items]
+        assert shared.additions() <= sum(len(item) - 1 for item in items)
+
+
+def test_sharing_saves_additions():
+    common = set(range(50))
+    items = [common | {100 + i} for i in range(20)]
+    shared = search.share(items, 200)
+    assert shared.additions() <= 49 + 20

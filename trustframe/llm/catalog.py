@@ -8,7 +8,9 @@ from trustframe.llm import (
     decontaminate,
     exact_dedup,
     language_id,
+    lexical_search,
     line_dedup,
+    merkle_manifest,
     simhash_dedup,
     substring_dedup,
     token_counts,
@@ -27,10 +29,14 @@ QUERIES = {
     "op8_decontaminate": decontaminate.decontaminate_query,
     "op9_token_counts": token_counts.token_query,
     "op10_bpe": bpe.bpe_query,
+    "op11_merkle_manifest": merkle_manifest.manifest_query,
     "op12_exact_dedup": exact_dedup.exact_query,
+    "op13_lexical_search": lexical_search.search_query,
 }
 ORACLES = {
     "op2_chat_format": chat_format.CHAT_SQL,
     "op3_topk_search": topk_search.TOPK_SQL,
+    "op11_merkle_manifest": merkle_manifest.MANIFEST_SQL,
     "op12_exact_dedup": exact_dedup.EXACT_SQL,
+    "op13_lexical_search": lexical_search.SEARCH_SQL,
 }
