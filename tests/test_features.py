@@ -88,10 +88,35 @@ def test_sparse_encoding_equals_wide(spark, train):
     assert sorted((r["col"], r["level"]) for r in long.collect()) == [("kind", "a")] * 3 + [("kind", "b")] * 2
 
 
-def test_too_many_levels_are_refused(spark):
-    many = spark.range(features.MAX_LEVELS + 1).select(F.col("id").cast("string").alias("kind"))
-    with pytest.raises(ValueError, match="too many levels"):
-        features.fit_features(many, ["kind"], [])
+@pytest.mark.parametrize("levels", [features.MAX_LEVELS, features.MAX_LEVELS + 1])
+def test_many_levels_fit_on_both_sides_of_the_limit(spark, levels):
+    """Vectors hold the cells that columns would: place of the level in sorted order, zeros for an unseen one."""
+    kind = F.concat(F.lit("k"), F.col("id"))
+    train = spark.range(levels).select(kind.alias("kind"), F.col("id").cast("double").alias("x")).repartition(3)
+    fitted = features.fit_features(train.unionAll(train.where("kind = 'k7'")), ["kind"], ["x"])
+    ordered = sorted(f"k{i}" for i in range(levels))
+    other = spark.createDataFrame([("k3", 1.0), ("k1999", 2.0), (None, 3.0), ("new", 4.0)], "kind string, x double")
+    rows = sorted(fitted.transform(other, [F.col("x").alias("key")]).collect(), key=lambda r: r["key"])
+    if levels <= features.MAX_LEVELS:
+        cells = [[r[f"kind_{level}"] for level in ordered] for r in rows]
+    else:
+        assert fitted.names == ["x"] and fitted.vector_names == ["kind_levels"]
+        cells = [r["kind_levels"].toArray().tolist() for r in rows]
+    at = [ordered.index("k3"), ordered.index("k1999"), ordered.index("k7"), None]  # a null reads as the most frequent
+    assert cells == [[float(i == place) for i in range(levels)] for place in at]
+
+
+def test_two_wide_columns_beside_a_narrow_one(spark):
+    rows = [(f"a{i % 5}", f"b{i % 4}", f"c{i % 2}", float(i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "a string, b string, c string, x double")
+    wide = features.fit_features(df, ["a", "b", "c"], ["x"], max_levels=3)
+    dense = features.fit_features(df, ["a", "b", "c"], ["x"])
+    assert set(wide.wide) == {"a", "b"} and set(wide.categorical) == {"c"}
+    again = features.FittedFeatures.from_table(wide.to_table(spark), wide.levels.df)
+    for fitted in (wide, again):
+        got = {r["key"]: [*r["a_levels"].toArray(), *r["b_levels"].toArray(), r["c_c0"], r["c_c1"], r["x"]] for r in fitted.transform(df, [F.col("x").alias("key")]).collect()}
+        want = {r["key"]: [r[n] for n in [*(f"a_a{i}" for i in range(5)), *(f"b_b{i}" for i in range(4)), "c_c0", "c_c1", "x"]] for r in dense.transform(df, [F.col("x").alias("key")]).collect()}
+        assert got == want
 
 
 def test_column_without_values_is_left_out(spark):

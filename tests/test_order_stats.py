@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 
 from trustframe.operators.order_stats import exact_median, kth_smallest, lower_median, select_ranks
-from trustframe.operators.rank import first_k, smallest_limit, spread_row_number
+from trustframe.operators.order_stats import with_counted_median
+from trustframe.operators.rank import first_k, range_row_number, running_total, smallest_limit, spread_row_number
 from pyspark.sql import Window, functions as F
 
 
@@ -40,6 +41,32 @@ def test_medians_match_numpy(table, direct_rows):
         assert low[key] == np.sort(values)[(len(values) - 1) // 2], key
 
 
+@pytest.mark.parametrize("direct_rows", [1_000_000, 50, 3])
+def test_counted_values_have_the_medians_of_all_values(table, direct_rows):
+    counted = table.groupBy("k", "v").agg(F.count("*").alias("times"))
+    got = {r["k"]: r["median"] for r in exact_median(counted, ["k"], "v", direct_rows=direct_rows, weight="times").collect()}
+    assert got == {key: np.median(values) for key, values in _values().items()}
+    beside = with_counted_median(counted, ["k"], "v", "times", "m").select("k", "m").distinct().collect()
+    assert {r["k"]: r["m"] for r in beside} == got
+
+
+@pytest.mark.parametrize("step", [1 << 20, 16, 3])
+def test_running_totals_in_blocks(spark, step):
+    rows = spark.range(500).select((F.col("id") * 7 - 300).alias("at"), (F.col("id") % 3).alias("k"), (F.col("id") % 11).alias("n"))
+    for keys in ([], ["k"]):
+        found = running_total(rows, keys, "at", "n", "upto", step)
+        plain = F.sum("n").over(Window.partitionBy(*keys).orderBy("at"))
+        assert found.count() == 500 and found.withColumn("plain", plain).where("upto <> plain").isEmpty()
+    assert running_total(rows.limit(0), [], "at", "n", "upto", step).count() == 0
+
+
+def test_range_row_numbers(spark):
+    rows = spark.range(2000).select(F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 5)).alias("k"), F.md5(F.col("id").cast("string")).alias("v"))
+    found = range_row_number(rows, ["k"], ["v"], "rn")
+    plain = F.row_number().over(Window.partitionBy("k").orderBy("v"))
+    assert found.count() == 2000 and found.withColumn("plain", plain).where("rn <> plain").isEmpty()
+
+
 @pytest.mark.parametrize("direct_rows", [1_000_000, 10])
 def test_ranks_without_keys(table, direct_rows):
     everything = np.sort(np.concatenate(list(_values().values())))

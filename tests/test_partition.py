@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from trustframe.functions.hashing import keyed_uniform
 from trustframe.operators import noise, partition
 
 FAMILIES = ["normal", "dos", "probe", "r2l", "u2r"]
@@ -78,6 +79,38 @@ def test_rounding_is_half_even_and_overshoot_is_removed(spark):
         assert sum(r["top"] - r["low"] for r in limits) == {13: 15, 18: 20}[size]
 
 
+def test_trimmed_rows_equal_the_picks_one_by_one(spark):
+    """The closed form against evenly spaced picks from the client's start, for many sizes and clients."""
+    specs = partition.specs_table(spark, [(f"c{i}", {f: 0.2 for f in FAMILIES}) for i in range(40)])
+    pools = spark.createDataFrame([(f, 9) if f == "u2r" else (f, 1000) for f in FAMILIES], "family string, pool long")
+    draws = {r[0]: r[1] for r in spark.range(1, 41).select("id", keyed_uniform(F.col("id").cast("int"), 5, "trim")).collect()}
+    for size in (3, 13, 18):
+        rows = partition.quota_limits(specs, pools, size, seed=5).collect()
+        for client in range(1, 41):
+            own = sorted((r for r in rows if r["client_id"] == client), key=lambda r: r["family"])
+            n, over = sum(r["top"] - r["low"] for r in own), 0
+            over = max(0, n - size)
+            picks = [(int(draws[client] * n) + j * n // over) % n for j in range(over)]
+            before = 0
+            for r in own:
+                hit = sum(before <= p < before + r["top"] - r["low"] for p in picks)
+                assert r["top"] - r["high"] == hit
+                before += r["top"] - r["low"]
+
+
+def test_records_are_shuffled_once(spark):
+    rows = pool(spark, 5000).withColumn("payload", F.repeat(F.col("row_id"), 20))
+    dealt = partition.split_non_iid(rows, partition.five_client_specs(spark), 900, seed=2)
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("row_number()") >= 1 and plan.count("Window ") + plan.count("Exchange hashpartitioning") == 2
+
+
+def test_families_without_a_name_are_only_left_over(spark):
+    rows = pool(spark, 1000).withColumn("family", F.when(F.col("family") != "u2r", F.col("family")))
+    dealt = partition.split_non_iid(rows, partition.five_client_specs(spark), 200, seed=4)
+    assert sizes(dealt) == {i: 200 for i in range(1, 6)} and dealt.select("row_id").distinct().count() == 1000
+
+
 def test_preferred_families_are_used_up_first(spark):
     specs = partition.specs_table(spark, [("one", {"normal": 0.1})])
     dealt = partition.split_non_iid(pool(spark, 1000), specs, 300, seed=1, prefer=["u2r"])

@@ -82,7 +82,7 @@ def test_client_tables(spark, tmp_path):
     records.write_client_tables(dealt, str(tmp_path / "clients"))
     manifest = partition.split_manifest(dealt, specs, 2, 1)
     partition.write_manifest(manifest, str(tmp_path / "manifest"), "train.txt", str(tmp_path / "clients"))
-    described = [json.loads(line) for file in (tmp_path / "manifest").glob("*.json") for line in file.read_text().splitlines()]
+    described = partition.read_manifest(spark, str(tmp_path / "manifest")).collect()
     assert len(described) == 12 and {d["n_clients"] for d in described} == {12}
     assert described[0]["family_counts"] == {"dos": 1, "normal": 1} and described[0]["source"] == "train.txt"
     back = records.read_client_tables(spark, str(tmp_path / "clients"))
@@ -90,6 +90,48 @@ def test_client_tables(spark, tmp_path):
     assert {r["client_id"]: r["count"] for r in back.groupBy("client_id").count().collect()} == {i: 2 for i in range(1, 13)}
 
 
+def test_manifest_is_one_object(spark, tmp_path):
+    rows = spark.range(400).select(F.concat(F.lit("r"), F.col("id")).alias("row_id"), F.when(F.col("id") % 2 == 0, "dos").otherwise("normal").alias("family"), F.col("id").cast("double").alias("duration"))
+    specs = partition.specs_table(spark, [(f'c "{i}"', {"normal": 0.5, "dos": 0.5}) for i in range(12)] + [("none", {"probe": 0.0})])
+    dealt = partition.split_non_iid(rows, specs, 10, seed=1, fill=False)
+    manifest = partition.split_manifest(dealt, specs, 10, 1)
+    partition.write_manifest(manifest, str(tmp_path / "manifest"), "train.txt", "out")
+    (file,) = (tmp_path / "manifest").glob("part-*")
+    whole = json.loads(file.read_text())
+    assert {k: whole[k] for k in ("n_clients", "client_size", "seed", "source", "output_dir")} == {"n_clients": 13, "client_size": 10, "seed": 1, "source": "train.txt", "output_dir": "out"}
+    assert [spec["name"] for spec in whole["specs"]] == [f'c "{i}"' for i in range(12)] + ["none"]
+    assert whole["specs"][0]["proportions"] == {"normal": 0.5, "dos": 0.5}
+    assert whole["clients"]['c "3"'] == {"client_id": 4, "rows": 10, "family_counts": {"dos": 5, "normal": 5}}
+    assert whole["clients"]["none"] == {"client_id": 13, "rows": 0, "family_counts": {}}
+    back = {r["client_id"]: r for r in partition.read_manifest(spark, str(tmp_path / "manifest")).collect()}
+    assert len(back) == 13 and back[4]["family_counts"] == {"dos": 5, "normal": 5} and back[13]["proportions"] == {"probe": 0.0}
+    records.write_client_csv(dealt, str(tmp_path / "shards"))
+    shards = records.read_client_csv(spark, str(tmp_path / "shards"))
+    assert {r["client_id"]: r["count"] for r in shards.groupBy("client_id").count().collect()} == {i: 10 for i in range(1, 13)}
+    assert shards.agg(F.sum("duration")).first()[0] == dealt.agg(F.sum("duration")).first()[0] and "family" not in shards.columns
+
+
+@pytest.mark.parametrize("few_files", [16, 0])
+def test_a_folder_of_different_layouts(spark, tmp_path, few_files, monkeypatch):
+    monkeypatch.setattr(records, "FEW_FILES", few_files)
+    monkeypatch.setattr(records.file_heads, "__defaults__", (records.SAMPLE_LINES, few_files))
+    for name, sep, difficulty in (("a b.txt", ",", True), ("b.txt", " ", False), ("c.txt", " , ", False), ("d.txt", "\t", True)):
+        (tmp_path / name).write_text("\n".join(line(i, "neptune." if i % 2 else "normal", sep, difficulty) for i in range(20)) + "\n\n")
+    (tmp_path / "empty.txt").write_text("")
+    assert sorted(records.detect_layouts(spark, str(tmp_path))) == [(",", 42), (",", 43), ("whitespace", 42), ("whitespace", 43)]
+    rows = records.read_records(spark, str(tmp_path))
+    assert rows.columns == ["row_id", *records.FEATURES, "label"]
+    assert rows.count() == rows.select("row_id").distinct().count() == 80
+    got = rows.groupBy("duration", "service", "label").count().collect()
+    assert len(got) == 20 and {r["count"] for r in got} == {4}
+
+
+def test_quoted_fields(spark, tmp_path):
+    (tmp_path / "q.txt").write_text('"a,b", 1.5 ,"x ""y""",normal.,3\n,,"",neptune,\n')
+    rows = sorted(map(tuple, records.read_records(spark, str(tmp_path), keep_row_id=False).collect()), key=repr)
+    assert rows == [("a,b", "1.5", 'x "y"', "normal"), (None, None, None, "neptune")]
+
+
 def test_client_csv_numbers_come_from_names(spark, tmp_path):
     for client in (1, 2, 10):
         text = ",".join([*records.FEATURES, "label"]) + "\n" + "\n".join(line(client, difficulty=False) for _ in range(client))
@@ -133,6 +175,48 @@ def test_run_store_keeps_scenarios_and_refuses_unknown_columns(spark, tmp_path):
         store.log_rounds("run", rounds.withColumn("surprise", F.lit(1)))
 
 
+def test_upserts_leave_one_row_on_disk(spark, tmp_path):
+    store = runs.RunStore(spark, str(tmp_path))
+    rows = lambda value, numbers=(1, 2): spark.createDataFrame([(s, r, value) for s in (0, 1) for r in numbers], "scenario_id long, round int, accuracy double")
+    on_disk = lambda: sorted((r["scenario_id"], r["round"], r["accuracy"]) for r in spark.read.parquet(str(tmp_path / "rounds")).collect())
+    for _ in range(2):  # a retried job
+        store.log_rounds("run", rows(0.5), sequence=2)
+    assert on_disk() == [(0, 1, 0.5), (0, 2, 0.5), (1, 1, 0.5), (1, 2, 0.5)]
+    store.log_rounds("run", rows(0.1), sequence=1)  # late
+    assert {r[2] for r in on_disk()} == {0.5}
+    store.log_rounds("run", rows(0.9, (2, 3)).where("scenario_id = 1"), sequence=3)
+    assert on_disk() == [(0, 1, 0.5), (0, 2, 0.5), (1, 1, 0.5), (1, 2, 0.9), (1, 3, 0.9)]
+    store.log_rounds("other", rows(0.2), sequence=1)
+    assert len(on_disk()) == 9 and store.rounds().where("run_name = 'run'").count() == 5
+
+
+def test_one_message_for_a_round_of_any_size(spark):
+    rows = spark.range(10_001).select(
+        (F.col("id") % 3 % 2 + 1).cast("int").alias("round"), (F.col("id") - 50).alias("client_id"), F.lit(True).alias("used"),
+        F.when(F.col("id") % 2 == 0, 0.5).alias("trust"),
+    )
+    all_in_one = rows.withColumn("round", F.lit(1))
+    (message,) = runs.feedback_messages(all_in_one, ["round"]).collect()
+    parsed = json.loads(message["value"])
+    assert message["n_clients"] == len(parsed["clients"]) == 10_001 and parsed["round"] == 1
+    assert [c["client_id"] for c in parsed["clients"]] == list(range(-50, 9951))
+    assert parsed["clients"][0] == {"client_id": -50, "used": True, "trust": 0.5} and "trust" not in parsed["clients"][1]
+    for size in (7, 10**6):
+        found = {r["round"]: json.loads(r["value"]) for r in runs.feedback_messages(rows, ["round"], size).collect()}
+        assert {k: len(v["clients"]) for k, v in found.items()} == {1: 6667, 2: 3334}
+    (bare,) = runs.feedback_messages(rows.drop("round"), []).collect()
+    assert len(json.loads(bare["value"])["clients"]) == 10_001
+
+
+def test_many_runs_are_merged_in_one_shuffle(spark):
+    logs = {f"r{i}": spark.createDataFrame([(1, 0.1 * i)], "round int, accuracy double").withColumn(f"own{i}", F.lit(i)) for i in range(12)}
+    logs["point"] = spark.createDataFrame([(0.7,)], "accuracy double")
+    merged = analytics.merge_runs(logs)
+    assert merged._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    got = {r["run_name"]: r for r in merged.collect()}
+    assert len(got) == 13 and got["r3"]["own3"] == 3 and got["r3"]["own4"] is None and got["point"]["round"] == 1
+
+
 def test_nested_feedback_in_parts(spark):
     rows = spark.range(1, 101).select(
         F.lit(1).alias("round"), F.col("id").alias("client_id"), F.lit(True).alias("used"), F.lit(None).cast("double").alias("trust")

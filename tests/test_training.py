@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trustframe.operators import materialize, trust
+from trustframe.operators import materialize, trust, updates
 from trustframe.plans import learners, mlp, training
+from trustframe.plans.scenarios import ScenarioTable, flip_draw
+from trustframe.sources import runs
 
 COLUMNS = learners.Columns(("a", "b"))
 
@@ -22,9 +26,15 @@ def data(spark):
     return rows.where("row_id < '7'"), rows.where("row_id >= '7'")
 
 
-def run(data, merge=trust.MergeConfig(), rounds=3, learner=learners.LinearLearner(lr=1.0), scenarios=(learners.Scenario(),), layers=None):
+def run(data, merge=trust.MergeConfig(), rounds=3, learner=learners.LinearLearner(lr=1.0), scenarios=(learners.Scenario(),), layers=None, log=None):
     config = training.TrainConfig(rounds, 7, learner, merge)
-    return training.train_rounds(*data, COLUMNS, config, scenarios, layers)
+    return training.train_rounds(*data, COLUMNS, config, scenarios, layers, log)
+
+
+def tables(result):
+    """Rounds, feedback and states as plain rows, whatever the order of rows and columns."""
+    plain = lambda df: sorted(str(sorted(r.asDict().items())) for r in df.collect())
+    return [plain(result.rounds), plain(result.feedback), plain(result.states)]
 
 
 def test_states_change_and_accuracy_is_high(data):
@@ -78,6 +88,90 @@ def test_strategies_with_a_poisoned_client(spark, data, merge):
         assert all(r["used"] for r in feedback) and rows[1]["trust_mean"] is None
 
 
+def test_a_cut_run_goes_on_after_its_last_complete_round(spark, data, tmp_path):
+    merge = trust.MergeConfig("cosine", drop_k=1, beta=0.5)
+    scenarios = [learners.Scenario(0), learners.Scenario(1, (2,), 0.4)]
+    layers = spark.createDataFrame([(i, 0.2 * i) for i in range(1, 5)], "client_id long, score double")
+    whole = run(data, merge, 2, scenarios=scenarios, layers=layers)
+    store = runs.RunStore(spark, str(tmp_path))
+    log = training.RunLog(store, "cut")
+    first = run(data, merge, 1, scenarios=scenarios, layers=layers, log=log)
+    assert first.rounds.count() == 2 and first.feedback.count() == 8 and first.states.count() == 4
+    # Round 2 stops after its feedback and scores were written, but not its states.
+    lost = spark.createDataFrame([(s, 2, 9, 0.0) for s in (0, 1)], "scenario_id long, round int, client_id long, trust double")
+    store.log_feedback("cut", lost.where("client_id < 0"), sequence=2)
+    store.log_rounds("cut", spark.createDataFrame([(0, 2, 0.123)], "scenario_id long, round int, accuracy double"), sequence=2)
+    resumed = run(data, merge, 2, scenarios=scenarios, layers=layers, log=log)
+    assert tables(resumed) == tables(whole)
+    assert resumed.rounds.count() == 4 and resumed.states.count() == 6  # one row each, whatever was tried before
+    with pytest.raises(ValueError, match="another configuration"):
+        run(data, merge, 2, scenarios=scenarios[:1], layers=layers, log=log)
+    none = run(data, merge, 0, log=training.RunLog(store, "none"))
+    assert none.rounds.first()["recall"] == 1.0 and none.states.count() == 1
+
+
+def test_two_thousand_scenarios(spark, data):
+    """All share the first state, so one round trains each client once for each flip rate; plans do not grow."""
+    picked = spark.range(2000).select(F.col("id").cast("int").alias("scenario_id"))
+    attackers = picked.where("scenario_id % 2 = 1").select("scenario_id", F.lit(2).cast("long").alias("client_id"), F.lit(1.0).alias("flip_rate"))
+    table = ScenarioTable(picked, materialize.settle(attackers))
+    result = run(data, rounds=1, scenarios=table)
+    rows = result.rounds.collect()
+    few = {r["scenario_id"]: r for r in run(data, rounds=1, scenarios=[learners.Scenario(0), learners.Scenario(1, (2,), 1.0)]).rounds.collect()}
+    assert len(rows) == 2000
+    assert all(r["accuracy"] == few[r["scenario_id"] % 2]["accuracy"] for r in rows)
+
+
+def test_poisoned_sums_equal_flipped_labels(spark, data):
+    """Two attackers with different rates in one scenario, and one client with several rates over all scenarios."""
+    train = data[0]
+    rows = [(0, 1, 0.3), (0, 2, 1.0), (1, 1, 0.7), (2, 1, 0.3), (3, 3, 1e-9)]
+    ids = spark.createDataFrame([(i,) for i in range(5)], "scenario_id int")
+    table = ScenarioTable(ids, materialize.settle(spark.createDataFrame(rows, "scenario_id int, client_id long, flip_rate double")))
+    state = ids.select("scenario_id", F.array(F.lit(0.1) * F.col("scenario_id"), F.lit(-0.2), F.lit(0.05)).alias("weights"))
+    learner = learners.LinearLearner(0.5, steps=2)
+    got = {(r["scenario_id"], r["client_id"]): r for r in learner.train(train, COLUMNS, state, table, 3, 11).collect()}
+    assert len(got) == 20
+    rates = {(s, c): rate for s, c, rate in rows}
+    drawn = train.withColumn("u", flip_draw(F.col("row_id"), F.col("client_id"), 3, 11)).toPandas()
+    for (scenario, client), row in got.items():
+        own = drawn[drawn.client_id == client]
+        x = np.column_stack([own.a, own.b, np.ones(len(own))])
+        target = np.where(own.u < rates.get((scenario, client), 0.0), 1 - own.y, own.y)
+        start = np.array([0.1 * scenario, -0.2, 0.05])
+        w = start.copy()
+        for _ in range(2):
+            w = w - 0.5 * x.T @ (1 / (1 + np.exp(-x @ w)) - target) / len(own)
+        assert row["values"] == pytest.approx((w - start).tolist(), abs=1e-12)
+        assert row["weight"] == len(own)
+
+
+def test_states_beyond_the_broadcast_limit(spark, data, monkeypatch):
+    learner, limit = learners.LinearLearner(0.5, steps=2), 400
+    states = spark.range(6).select(F.col("id").cast("int").alias("scenario_id"), F.lit(1).alias("round"), F.array(F.sin("id"), F.cos("id"), F.lit(0.1)).alias("weights"))
+    count = lambda s, **o: sorted(map(tuple, learner.predictions(data[1], COLUMNS, s, **o).collect()))
+    small = count(materialize.settle(states))
+    assert count(materialize.Settled(materialize.cut_lineage(states), False), block_bytes=limit) == small
+    scenarios = [learners.Scenario(i, (2,), 0.5) for i in range(6)]
+    want = sorted(map(str, learner.train(data[0], COLUMNS, states, scenarios, 1, 1).collect()))
+    monkeypatch.setattr(materialize, "BROADCAST_LIMIT_BYTES", limit)
+    monkeypatch.setattr(materialize, "ARRAY_ROWS", 3)
+    got = sorted(map(str, learner.train(data[0], COLUMNS, states, scenarios, 1, 1).collect()))
+    rounded = lambda rows: [re.sub(r"(\d\.\d{9})\d+", r"\1", row) for row in rows]
+    assert rounded(got) == rounded(want)
+
+
+def test_updates_that_cannot_be_merged_raise(spark):
+    schema = "scenario_id int, round int, client_id long, weight double, values array<double>"
+    frame = lambda *rows: spark.createDataFrame(rows, schema)
+    good = frame((0, 1, 1, 1.0, [1.0, 2.0]), (0, 1, 2, 0.0, [1.0, 2.0]), (1, 1, 1, 2.0, [1.0]))
+    assert updates.checked_updates(good).count() == 3
+    for bad, why in ((frame(), "no client updates"), (frame((0, 1, 1, 1.0, [1.0]), (0, 1, 2, 1.0, [1.0, 2.0])), "same length"), (frame((0, 1, 1, 0.0, [1.0])), "greater than 0")):
+        for strategy in ("fedavg", "median", "trimmed_mean", "cosine"):
+            with pytest.raises(ValueError, match=why):
+                trust.merge_updates(bad, trust.MergeConfig(strategy))
+
+
 def test_no_rounds_scores_the_initial_model(data):
     result = run(data, rounds=0)
     row = result.rounds.first()

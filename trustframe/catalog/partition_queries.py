@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from trustframe.catalog.standins import FAMILY_SQL, RECORDS_SQL, SEED, family_events, r6, records, table
 from trustframe.functions.labels import binary_label
 from trustframe.operators import noise, partition
+from trustframe.operators.materialize import cut_lineage, scratch_path
+from trustframe.operators.rank import first_k
+from trustframe.sources import records as source
 
 EVEN_SHARE = 0.2
 EVEN_CLIENTS = 3
@@ -15,6 +18,7 @@ FLIP_RATE = 0.3
 ROUNDS = 3
 PICKED = 5
 PREFERRED = ("u2r", "r2l")
+SHUFFLED = 20
 
 
 def split_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +77,35 @@ def split_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def client_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clients written as CSV with one manifest for the split, both read back: parameters, shares and rows by family."""
+    rows = family_events(spark, sf_dir)
+    specs = partition.five_client_specs(spark)
+    size = _share_of_rows(rows, 6)
+    dealt = cut_lineage(partition.split_non_iid(rows, specs, size, SEED, row_id="event_id"))
+    folder = scratch_path(spark, "shards")
+    source.write_client_csv(dealt, f"{folder}/clients", drop_family=False)
+    partition.write_manifest(partition.split_manifest(dealt, specs, size, SEED), f"{folder}/manifest", "events", "clients")
+    kept = source.read_client_csv(spark, f"{folder}/clients")
+    found = kept.groupBy("client_id", "family").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("event_id").cast("long")).alias("ids"))
+    told = partition.read_manifest(spark, f"{folder}/manifest")
+    shares = told.select(*[c for c in told.columns if c not in ("proportions", "family_counts")], F.explode("proportions").alias("family", "share"), "family_counts")
+    joined = shares.join(found, ["client_id", "family"], "left")
+    whole = {c: F.col(c).cast("long") for c in ("client_id", "client_size", "seed")}
+    return joined.withColumns(whole).select(
+        "client_id", "name", "n_clients", "client_size", "seed", "source", "output_dir", "rows", "family", "share",
+        F.coalesce(F.try_element_at("family_counts", "family"), F.lit(0).cast("long")).alias("told"),
+        F.coalesce("n", F.lit(0).cast("long")).alias("n"), "ids",
+    )
+
+
+def shuffle_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rows of each client in its shuffled order."""
+    dealt = _filled(spark, sf_dir)
+    first = first_k(dealt, ["client_id"], [F.col("shuffle_key").asc(), F.col("event_id").asc()], SHUFFLED, "place")
+    return first.select(F.col("client_id").cast("long").alias("client_id"), F.col("place").cast("long").alias("place"), "event_id")
+
+
 def label_flip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = records(spark, sf_dir).select("row_id", "client_id", binary_label(F.col("label")).alias("y"))
     each = rows.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(ROUNDS))))
@@ -92,6 +125,7 @@ QUERIES = {
     query.__name__: query
     for query in (
         split_specs, quota_split, quota_fill, quota_fill_preferred, quota_trim, split_manifest, label_flip, pick_clients,
+        client_shards, shuffle_order,
     )
 }
 
@@ -180,6 +214,19 @@ WITH {_FIVE}, {_fill_sql()}, names(client_id, name) AS (VALUES {_NAMES}),
 c AS (SELECT client_id, family, count(*) AS n FROM filled GROUP BY ALL)
 SELECT client_id::BIGINT AS client_id, name, (sum(n) OVER (PARTITION BY client_id))::BIGINT AS rows, family, n
 FROM c JOIN names USING (client_id)""",
+    "client_shards": f"""
+WITH {_FIVE}, {_fill_sql()}, names(client_id, name) AS (VALUES {_NAMES}),
+c AS (SELECT client_id, family, count(*) AS n, sum(event_id)::BIGINT AS ids FROM filled GROUP BY ALL),
+totals AS (SELECT client_id, count(*) AS rows FROM filled GROUP BY client_id)
+SELECT spec.client_id::BIGINT AS client_id, name, 5::BIGINT AS n_clients, size AS client_size, {SEED}::BIGINT AS seed,
+       'events' AS source, 'clients' AS output_dir, rows, spec.family, fraction AS share,
+       coalesce(n, 0)::BIGINT AS told, coalesce(n, 0)::BIGINT AS n, ids
+FROM spec JOIN names USING (client_id) JOIN totals USING (client_id) CROSS JOIN size
+LEFT JOIN c ON c.client_id = spec.client_id AND c.family = spec.family""",
+    "shuffle_order": f"""
+WITH {_FIVE}, {_fill_sql()},
+r AS (SELECT client_id, event_id, row_number() OVER (PARTITION BY client_id ORDER BY md5(concat('{SEED}:shuffle:', event_id)), event_id) AS place FROM filled)
+SELECT client_id::BIGINT AS client_id, place, event_id FROM r WHERE place <= {SHUFFLED}""",
     "label_flip": f"""
 WITH {RECORDS_SQL}, each AS (SELECT *, unnest(range(1, {ROUNDS + 1})) AS round FROM rec),
 marked AS (

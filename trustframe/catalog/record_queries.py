@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from trustframe.catalog.standins import (
     CATEGORIES,
+    CLIENTS,
     FAMILY_OF_EVENT,
     FAMILY_SQL,
     NUMBERS,
@@ -17,6 +18,7 @@ from trustframe.catalog.standins import (
 )
 from trustframe.functions.labels import binary_label as binary_column, normalize_label, with_family
 from trustframe.operators import features, partition
+from trustframe.operators.materialize import scratch_path
 from trustframe.operators.trust import cross_layer_score
 from trustframe.sources import records as source
 
@@ -34,7 +36,44 @@ def ingest_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     text = F.concat_ws(",", key, "l_quantity", "l_extendedprice", "l_discount", "l_tax", F.concat("l_returnflag", F.lit(". ")))
     lines = rows.select(text.alias("value"))
-    return source.clean_records(lines.select(*source.parse_fields(F.split("value", ","), _LINE)))
+    return source.parse_lines(lines, source.COMMA, _LINE)
+
+
+def ingest_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem as a folder of comma separated and of white space separated files, through the reader."""
+    rows = table(spark, sf_dir, "lineitem")
+    key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    fields = [key, "l_quantity", "l_extendedprice", "l_discount", F.concat("l_returnflag", F.lit(".")), F.col("l_linenumber")]
+    folder = scratch_path(spark, "records")
+    for sep, chosen in ((", ", "l_linenumber % 2 = 1"), ("   ", "l_linenumber % 2 = 0")):
+        rows.where(chosen).select(F.concat_ws(sep, *fields)).write.mode("append").text(folder)
+    read = source.read_records(spark, folder)
+    return read.select(
+        F.col("c0").alias("key"), *[F.col(f"c{i}").cast("double").alias(name) for i, name in ((1, "quantity"), (2, "price"), (3, "discount"))],
+        "label", F.substring_index("row_id", "-", -1).cast("long").alias("copy"),
+    )
+
+
+def one_hot_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as levels, more than are encoded as columns; rows counted by the place of their 1, -1 without one."""
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.when(F.col("l_linenumber") != 1, F.concat(F.lit("part"), F.col("l_partkey"))).alias("part"), "l_suppkey"
+    )
+    fitted = features.fit_features(rows.where(F.col("l_suppkey") % CLIENTS < FITTED_CLIENTS), ["part"], [], max_levels=20)
+    cells = fitted.transform(rows).select(F.unwrap_udt(fitted.vector_names[0]).alias("v"))
+    place = F.coalesce(F.get("v.indices", 0), F.lit(-1)).cast("long")
+    return cells.groupBy(place.alias("place"), F.col("v.size").cast("long").alias("levels")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def prepare_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fitted on, applied to and labelled in one frame: sums of every prepared column by label."""
+    out = features.prepare(records(spark, sf_dir), CATEGORIES, NUMBERS)
+    names = [name for name in out.columns if name != "label"]
+    sums = out.groupBy(F.col("label").cast("long").alias("y")).agg(
+        *[F.sum(features.quoted(name)).alias(name) for name in names], F.count(F.lit(1)).alias("n")
+    )
+    long = sums.unpivot(["y", "n"], [features.quoted(name) for name in names], "col", "total")
+    return long.select("y", "n", "col", (F.round("total", 3) + F.lit(0.0)).alias("total"))
 
 
 def row_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,6 +196,7 @@ QUERIES = {
     for query in (
         ingest_records, row_copies, label_profile, label_normalize, family_map, family_counts, binary_label,
         prep_fit_stats, impute_median, impute_mode, one_hot, one_hot_sparse, standardize, prep_transform, cross_layer,
+        ingest_folder, one_hot_wide, prepare_labelled,
     )
 }
 
@@ -201,6 +241,28 @@ FROM lineitem""",
     "row_copies": """
 SELECT l_returnflag, l_linestatus, l_discount, count(*) AS copies, count(*) AS ids, count(*) AS highest
 FROM lineitem GROUP BY ALL""",
+    "ingest_folder": """
+SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS key, l_quantity AS quantity,
+       l_extendedprice AS price, l_discount AS discount, l_returnflag AS label,
+       row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice,
+                                       l_discount, l_returnflag) AS copy
+FROM lineitem""",
+    "one_hot_wide": f"""
+WITH r AS (SELECT CASE WHEN l_linenumber <> 1 THEN concat('part', l_partkey) END AS part, l_suppkey FROM lineitem),
+seen AS (SELECT part, count(*) AS n FROM r WHERE l_suppkey % {CLIENTS} < {FITTED_CLIENTS} AND part IS NOT NULL GROUP BY part),
+placed AS (SELECT part, row_number() OVER (ORDER BY part) - 1 AS place FROM seen),
+fill AS (SELECT arg_min(part, (-n, part)) AS fill FROM seen)
+SELECT coalesce(place, -1)::BIGINT AS place, (SELECT count(*) FROM seen) AS levels, count(*) AS n
+FROM (SELECT coalesce(part, fill) AS part FROM r, fill) LEFT JOIN placed USING (part) GROUP BY ALL""",
+    "prepare_labelled": f"""
+WITH {RECORDS_SQL}, {_fit_sql("true")},
+cat_fill AS (SELECT (SELECT status FROM rec WHERE status IS NOT NULL GROUP BY status ORDER BY count(*) DESC, status LIMIT 1) AS status_fill),
+p AS (SELECT CASE WHEN label = 'normal' THEN 0 ELSE 1 END::BIGINT AS y, {", ".join(f"(coalesce({c}, {c}_m) - {c}_avg) / coalesce(nullif({c}_std, 0), 1) AS {c}" for c in NUMBERS)},
+             {", ".join(f"(coalesce(status, status_fill) = '{v}')::DOUBLE AS status_{v}" for v in "FO")},
+             {", ".join(f"(line = 'line{i}')::DOUBLE AS line_line{i}" for i in range(1, 8))}
+      FROM rec, fit, cat_fill),
+long AS (UNPIVOT p ON COLUMNS(* EXCLUDE (y)) INTO NAME col VALUE v)
+SELECT y, count(*) AS n, col, round(sum(v), 3) + 0.0 AS total FROM long GROUP BY y, col""",
     "label_profile": """
 SELECT event_type, count(*) AS n FROM events GROUP BY event_type ORDER BY n DESC, event_type LIMIT 10""",
     "label_normalize": """

@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from trustframe.catalog import update_queries
 from trustframe.catalog.standins import RUN_LOG_SQL, SEED, r6, run_log, updates_sql
 from trustframe.operators.noise import pick_clients
+from trustframe.operators.materialize import scratch_path
 from trustframe.plans import analytics
 from trustframe.sources import runs
+from trustframe.sources.upsert import highest
 
 WANTED = tuple(f"run_{i}" for i in (1, 2, 3, 5, 8, 13, 21, 100_000_000))
 ATTACKERS = 40
@@ -21,6 +23,32 @@ def round_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.latest_rounds(rows, tie=["event_id"]).select("run_name", "round", "accuracy", "event_id")
 
 
+def round_upsert_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rounds upserted into a store in three writes, one of them tried twice and one late, keyed by scenario too."""
+    rows = run_log(spark, sf_dir).select(
+        (F.length("event_type") % 2).alias("scenario_id"), "round", "logged_at", "accuracy",
+        F.col("event_id").alias("sequence"), F.pmod("event_id", F.lit(3)).alias("write"),
+    )
+    rows = rows.where("scenario_id IS NOT NULL")
+    store = runs.RunStore(spark, scratch_path(spark, "store"))
+    for write in (1, 2, 2, 0):  # rows of write 0 may be older than what is there
+        store.log_rounds("run", highest(rows.where(F.col("write") == write).drop("write"), ["scenario_id", "round"], ["sequence"]))
+    moment = F.col("logged_at").cast("timestamp_ntz").alias("logged_at")
+    return store.rounds().select("run_name", "scenario_id", "round", moment, "accuracy")
+
+
+def feedback_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One message for each round, put together from small parts."""
+    messages = runs.feedback_messages(_feedback(spark, sf_dir), ["round"], clients_per_part=20)
+    parsed = messages.select("n_clients", F.from_json("value", f"round bigint, clients array<{runs.CLIENT_SCHEMA}>").alias("m"))
+    sorted_ids = F.transform("m.clients", lambda c: c["client_id"])
+    return parsed.select(
+        F.col("m.round").alias("round"), "n_clients", F.aggregate(sorted_ids, F.lit(0).cast("long"), lambda a, x: a + x).alias("ids"),
+        (sorted_ids == F.array_sort(sorted_ids)).alias("in_order"),
+        F.size(F.filter("m.clients", lambda c: ~c["used"])).cast("long").alias("n_dropped"),
+    )
+
+
 def latest_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same for logs without a round, where each run becomes one point."""
     rows = run_log(spark, sf_dir).drop("round")
@@ -100,7 +128,7 @@ def attacker_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     query.__name__: query
     for query in (
-        round_upsert, latest_round, final_round, merge_runs, metric_series, defense_signal, run_select, feedback_nested,
+        round_upsert, round_upsert_store, feedback_messages, latest_round, final_round, merge_runs, metric_series, defense_signal, run_select, feedback_nested,
         feedback_summary, attacker_rank,
     )
 }
@@ -125,6 +153,15 @@ _FLAGGED = f"{updates_sql()}, {update_queries._SCORED}"
 
 ORACLES = {
     "round_upsert": f"WITH {_LATEST} SELECT run_name, round, accuracy, event_id FROM latest",
+    "round_upsert_store": f"""
+WITH {RUN_LOG_SQL}
+SELECT 'run' AS run_name, length(event_type) % 2 AS scenario_id, round, logged_at, accuracy FROM log
+WHERE event_type IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY length(event_type) % 2, round ORDER BY event_id DESC) = 1""",
+    "feedback_messages": f"""
+WITH {_FLAGGED} SELECT label AS round, count(*) AS n_clients, sum(client_id)::BIGINT AS ids, true AS in_order,
+       count(*) FILTER (NOT used) AS n_dropped
+FROM flagged GROUP BY label""",
     "latest_round": f"""
 WITH {RUN_LOG_SQL} SELECT run_name, 1 AS round, logged_at, event_id FROM log
 QUALIFY row_number() OVER (PARTITION BY run_name ORDER BY logged_at DESC, event_id DESC) = 1""",

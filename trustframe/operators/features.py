@@ -3,6 +3,9 @@
 Fitting gives a few numbers per column. They are kept as literals, so applying them is one projection inside the
 scan stage, with no join and no refit. Order is impute, then encode or scale: scaling statistics count the filled
 values too.
+
+A categorical column of more levels than a projection should hold is fitted as a table of levels and their positions.
+It is joined by key, and the column becomes one sparse vector with the same cells that dense columns would have.
 """
 
 from __future__ import annotations
@@ -13,11 +16,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from trustframe.functions.labels import binary_label
-from trustframe.operators.materialize import join_checked, settle
+from trustframe.operators.materialize import Settled, join_checked, settle
 from trustframe.operators.order_stats import DIRECT_ROWS, exact_median, largest_group
+from trustframe.operators.rank import range_row_number
 
-# Wide one-hot columns stay readable for the planner up to here; `one_hot_long` has no such bound.
+# A column of up to so many levels is encoded as columns, one of more levels as a sparse vector.
 MAX_LEVELS = 2000
+LEVEL_SCHEMA = "col string, level string, position int"
 
 
 def quoted(name: str) -> Column:
@@ -100,16 +105,27 @@ def most_frequent(levels: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 @dataclass(frozen=True)
 class FittedFeatures:
-    """Fitted preparation: what to fill, which levels to encode, how to scale."""
+    """Fitted preparation: what to fill, which levels to encode, how to scale.
+
+    ``wide`` holds fill and number of levels of the columns that ``levels (col, level, position)`` encodes.
+    """
 
     categorical: dict[str, tuple[str, list[str]]] = field(default_factory=dict)
     numeric: dict[str, tuple[float, float, float]] = field(default_factory=dict)
+    wide: dict[str, tuple[str, int]] = field(default_factory=dict)
+    levels: Settled | None = None
 
     @property
     def names(self) -> list[str]:
+        """Names of the prepared columns that are numbers."""
         encoded = [f"{name}_{level}" for name, (_, levels) in self.categorical.items() for level in levels]
         return encoded + list(self.numeric)
 
+    @property
+    def vector_names(self) -> list[str]:
+        """Names of the prepared columns that are sparse vectors, one for each wide column."""
+        return [f"{name}_levels" for name in self.wide]
+
     def expressions(self) -> list[Column]:
         out = []
         for name, (fill, levels) in self.categorical.items():
@@ -121,8 +137,26 @@ class FittedFeatures:
         return out
 
     def transform(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-        """Kept columns and the prepared features; an unseen level encodes as all zeros."""
-        return df.select(*keep, *self.expressions())
+        """Kept columns, the prepared numbers, then the vectors; an unseen level encodes as all zeros."""
+        places = [f"_place{i}" for i in range(len(self.wide))]
+        filled = [F.coalesce(quoted(name).cast("string"), F.lit(fill)) for name, (fill, _) in self.wide.items()]
+        out = df.select(*keep, *self.expressions(), *[f.alias(place) for f, place in zip(filled, places)])
+        for place, (name, (_, size)) in zip(places, self.wide.items()):
+            table = self.levels.df.where(F.col("col") == name).select(F.col("level").alias(place), F.col("position").alias("_at"))
+            found = join_checked(out, self.levels.derive(table), [place], "left")
+            out = found.withColumn(place, F.coalesce("_at", F.lit(size)).cast("double")).drop("_at")
+        if not places:
+            return out
+        dense = [name for name in out.columns if name not in places]
+        encoded = self._encoder(df.sparkSession, places).transform(out)
+        return encoded.select(*[quoted(name) for name in dense], *self.vector_names)
+
+    def _encoder(self, spark: SparkSession, places: list[str]):
+        """Positions to sparse vectors; the position after the last level, for unseen ones, is a vector of zeros."""
+        from pyspark.ml.feature import OneHotEncoder
+
+        last = spark.createDataFrame([tuple(float(size - 1) for _, size in self.wide.values())], ", ".join(f"{p} double" for p in places))
+        return OneHotEncoder(inputCols=places, outputCols=self.vector_names, handleInvalid="keep", dropLast=True).fit(last)
 
     def to_table(self, spark: SparkSession) -> DataFrame:
         rows = [
@@ -131,7 +165,7 @@ class FittedFeatures:
         ] + [
             (i, name, "numeric", None, None, median, mean, std)
             for i, (name, (median, mean, std)) in enumerate(self.numeric.items())
-        ]
+        ] + [(i, name, "wide", fill, None, None, None, None) for i, (name, (fill, _)) in enumerate(self.wide.items())]
         return spark.createDataFrame(
             rows,
             "position int, col string, kind string, fill string, levels array<string>, "
@@ -139,32 +173,49 @@ class FittedFeatures:
         )
 
     @staticmethod
-    def from_table(table: DataFrame) -> "FittedFeatures":
+    def from_table(table: DataFrame, levels: DataFrame | None = None) -> "FittedFeatures":
+        """``levels`` is the table of the wide columns' levels, if there are any."""
         rows = sorted(table.collect(), key=lambda row: row["position"])
+        fills = {r["col"]: r["fill"] for r in rows if r["kind"] == "wide"}
+        sizes = {r["col"]: r["count"] for r in levels.groupBy("col").count().collect()} if fills else {}
         return FittedFeatures(
             {r["col"]: (r["fill"], list(r["levels"])) for r in rows if r["kind"] == "categorical"},
             {r["col"]: (r["median"], r["mean"], r["std_pop"]) for r in rows if r["kind"] == "numeric"},
+            {name: (fill, sizes[name]) for name, fill in fills.items()},
+            settle(levels) if fills else None,
         )
 
 
 def fit_features(
-    df: DataFrame, categorical: Sequence[str], numeric: Sequence[str], direct_rows: int = DIRECT_ROWS
+    df: DataFrame,
+    categorical: Sequence[str],
+    numeric: Sequence[str],
+    direct_rows: int = DIRECT_ROWS,
+    max_levels: int = MAX_LEVELS,
 ) -> FittedFeatures:
-    """Fit on a split. Listed columns that are absent, or hold no value at all, are left out."""
+    """Fit on a split. Listed columns that are absent, or hold no value at all, are left out.
+
+    Only the levels of columns with up to ``max_levels`` of them come to the driver.
+    """
     categorical = present_columns(df, categorical)
     numeric = present_columns(df, numeric)
     encoded: dict[str, tuple[str, list[str]]] = {}
+    wide: dict[str, tuple[str, int]] = {}
+    table = None
     if categorical:
         levels = settle(level_counts(df, categorical)).df
         sizes = {r["col"]: r["count"] for r in levels.groupBy("col").count().collect()}
-        wide = {name: size for name, size in sizes.items() if size > MAX_LEVELS}
-        if wide:
-            raise ValueError(f"too many levels for one column each, use one_hot_long: {wide}")
         fills = {r["col"]: r["fill"] for r in most_frequent(levels).collect()}
-        members: dict[str, list[str]] = {name: [] for name in categorical}
-        for row in levels.select("col", "level").collect():
+        narrow = [name for name in categorical if 0 < sizes.get(name, 0) <= max_levels]
+        wide = {name: (fills[name], sizes[name]) for name in categorical if sizes.get(name, 0) > max_levels}
+        members: dict[str, list[str]] = {name: [] for name in narrow}
+        for row in levels.where(F.col("col").isin(narrow)).select("col", "level").collect():
             members[row["col"]].append(row["level"])
-        encoded = {name: (fills[name], sorted(members[name])) for name in categorical if members[name]}
+        encoded = {name: (fills[name], sorted(members[name])) for name in narrow}
+        if wide:
+            many = levels.where(F.col("col").isin(list(wide))).select("col", "level")
+            numbered = range_row_number(many, ["col"], ["level"], "position")
+            table = settle(numbered.select("col", "level", (F.col("position") - 1).cast("int").alias("position")))
     scaled: dict[str, tuple[float, float, float]] = {}
     if numeric:
         stats = {r["col"]: r for r in numeric_statistics(df, numeric, direct_rows=direct_rows).collect()}
@@ -173,7 +224,7 @@ def fit_features(
             for name in numeric
             if stats[name]["median"] is not None
         }
-    return FittedFeatures(encoded, scaled)
+    return FittedFeatures(encoded, scaled, wide, table)
 
 
 def one_hot_long(df: DataFrame, row_key: Sequence[str], columns: Sequence[str], levels: DataFrame) -> DataFrame:
@@ -195,4 +246,5 @@ def prepare(df: DataFrame, categorical: Sequence[str], numeric: Sequence[str], l
     if label not in df.columns:
         raise ValueError(f"expected a '{label}' column")
     fitted = fit_features(df, categorical, numeric)
-    return df.select(*fitted.expressions(), binary_label(F.col(label)).alias("label"))
+    labelled = fitted.transform(df, [binary_label(quoted(label)).alias("_label")])
+    return labelled.select(*[quoted(name) for name in labelled.columns if name != "_label"], F.col("_label").alias("label"))

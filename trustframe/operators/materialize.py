@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import tempfile
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -31,6 +34,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(configured)
 
 
+def any_path(spark: SparkSession, pattern: str) -> bool:
+    """Whether a file or folder matches ``pattern``."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(target)
+    return found is not None and len(found) > 0
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared checkpoint folder, removed when the driver's JVM ends."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{label}-{uuid.uuid4().hex}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and go on from the written copy."""
     ensure_checkpoint_dir(df.sparkSession)
@@ -111,3 +130,21 @@ def join_checked(large: DataFrame, small: Settled, on: list[str], how: str = "in
             raise ValueError("a join without keys needs a small table")
         return large.crossJoin(F.broadcast(small.df))
     return large.join(F.broadcast(small.df) if small.small else small.df.hint("merge"), on, how)
+
+
+def in_blocks(
+    large: DataFrame, small: Settled, on: list[str], work: Callable[[DataFrame], DataFrame], limit: int | None = None
+) -> DataFrame:
+    """``work`` on the join of a table with all rows of a settled one (every pair of rows, if ``on`` is empty).
+
+    A settled table too large for a broadcast is dealt by hash into blocks that are not; each block meets the large
+    table in a pass of its own, so the large one is never shuffled and a hot key stays spread. ``work`` has to keep
+    rows of the settled table apart, since the results of the blocks are put one below the other.
+    """
+    if small.small:
+        return work(join_checked(large, small, on))
+    limit = BROADCAST_LIMIT_BYTES if limit is None else limit
+    blocks = max(1, -(-2 * measured_bytes(small.df) // limit))  # half full on average
+    block = F.pmod(F.xxhash64(*[F.col(f"`{name}`") for name in small.df.columns]), F.lit(blocks))
+    parts = [work(join_checked(large, Settled(small.df.where(block == at), True), on)) for at in range(blocks)]
+    return functools.reduce(DataFrame.unionByName, parts)

@@ -40,21 +40,49 @@ def select_ranks(
     ranks,
     group_rows: int | None = None,
     direct_rows: int = DIRECT_ROWS,
+    weight: str | None = None,
 ) -> DataFrame:
     """Rows ``(keys..., n, name...)`` with the value at each named 1-based rank of every group.
 
     ``ranks`` maps the group size column ``n`` to ``{name: rank}``. Null and NaN values are skipped.
-    ``group_rows`` is an upper bound on the group size when the caller already knows one.
+    ``group_rows`` is an upper bound on the group size when the caller already knows one. ``weight`` names a column
+    that says how many equal values a row stands for.
     """
     names = list(ranks(F.lit(1)))
-    clean = df.select(*keys, F.col(value).cast("double").alias("_v")).where(
+    times = F.lit(1).cast("long") if weight is None else F.col(weight).cast("long")
+    clean = df.select(*keys, F.col(value).cast("double").alias("_v"), times.alias("_w")).where(
         F.col("_v").isNotNull() & ~F.isnan("_v")
     )
     if group_rows is None:
         group_rows = largest_group(clean, keys)
-    if group_rows <= direct_rows:
-        return _select_sorted(clean, keys, names, ranks)
-    return _select_narrowing(clean, keys, names, ranks, direct_rows)
+    if group_rows > direct_rows:
+        return _select_narrowing(clean, keys, names, ranks, direct_rows)
+    return _select_sorted(clean, keys, names, ranks) if weight is None else _select_counted(clean, keys, names, ranks)
+
+
+def _select_counted(clean: DataFrame, keys: list[str], names: list[str], ranks) -> DataFrame:
+    counted = clean.groupBy(*keys, "_v").agg(F.sum("_w").alias("_n"))
+    whole = Window.partitionBy(*keys)
+    running = counted.withColumns({"_upto": F.sum("_n").over(whole.orderBy("_v")), "n": F.sum("_n").over(whole)})
+    at = lambda rank: (rank <= F.col("_upto")) & (rank > F.col("_upto") - F.col("_n"))
+    picked = [F.max(F.when(at(rank), F.col("_v"))).alias(name) for name, rank in ranks(F.col("n")).items()]
+    return running.groupBy(*keys, "n").agg(*picked)
+
+
+def with_counted_median(df: DataFrame, keys: list[str], value: str, weight: str, out: str) -> DataFrame:
+    """``df`` with the median of ``value`` of each group, where a row stands for ``weight`` equal values.
+
+    For groups whose rows fit one task. Several of these on one key share a shuffle.
+    """
+    whole = Window.partitionBy(*keys)
+    known = F.col(value).isNotNull() & ~F.isnan(value)
+    upto = whole.orderBy(F.col(value).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # NaN sorts after all numbers and null before them; both weigh nothing.
+    counted = df.withColumn("_w", F.when(known, F.col(weight)).otherwise(F.lit(0).cast("long")))
+    counted = counted.withColumns({"_upto": F.sum("_w").over(upto), "_total": F.sum("_w").over(whole)})
+    at = lambda rank: (rank <= F.col("_upto")) & (rank > F.col("_upto") - F.col("_w"))
+    low, high = (F.max(F.when(at(rank), F.col(value))).over(whole) for rank in median_ranks(F.col("_total")).values())
+    return counted.withColumn(out, (low + high) / 2).drop("_w", "_upto", "_total")
 
 
 def _select_sorted(clean: DataFrame, keys: list[str], names: list[str], ranks) -> DataFrame:
@@ -103,7 +131,7 @@ def _select_narrowing(clean: DataFrame, keys: list[str], names: list[str], ranks
     done = state.df.where(F.col("_lo") == F.col("_hi")).select(*keys, "_name", "n", F.col("_lo").alias("_value"))
     short = state.df.where(F.col("_lo") < F.col("_hi"))
     counted = _inside(clean, state.derive(short), keys).groupBy(*keys, "_name", "n", "_rank", "_v").agg(
-        F.count(F.lit(1)).alias("_n")
+        F.sum("_w").alias("_n")
     )
     running = Window.partitionBy(*keys, "_name").orderBy("_v")
     picked = (
@@ -120,7 +148,7 @@ def _select_narrowing(clean: DataFrame, keys: list[str], names: list[str], ranks
 
 def _histogram(binned: DataFrame, keys: list[str]) -> DataFrame:
     return binned.groupBy(*keys, "_b").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
+        F.sum("_w").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
     )
 
 

@@ -4,18 +4,23 @@ Each client asks for a share of every family. Families are shuffled by a seeded
 consecutive positions, so dealing out the rows is an interval join between row numbers and a small table of limits.
 Clients that come up short are filled from what no client was given; fill rows are dealt the same way and are never
 handed out twice.
+
+Rows are counted by block, the first digits of their hash. Sums of these counts tell where the quotas of a family end
+and which blocks of leftover rows are needed, so every row knows from its hash whether it is a quota or a leftover row.
+Both are ranked in one window over blocks: the records are shuffled once.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from trustframe.functions.hashing import keyed_md5, keyed_uniform
 from trustframe.functions.scalars import clip, round_half_even
 from trustframe.operators.materialize import Settled, join_checked, literal_table, settle
-from trustframe.operators.rank import spread_row_number
+from trustframe.operators.rank import running_total
 
 # Family shares of each client type, and the order in which types are given to clients.
 SHARES: dict[str, dict[str, float]] = {
@@ -95,8 +100,8 @@ def quota_limits(specs: DataFrame, pools: DataFrame, client_size: int, seed: int
     (evenly spaced picks over the client's rows from one random start, so each row has the same chance).
     """
     asked = round_half_even(F.col("fraction") * F.lit(float(client_size))).cast("long")
-    upto = Window.partitionBy("family").orderBy("client_id")
-    running = specs.withColumn("asked", F.greatest(asked, F.lit(0))).withColumn("upto", F.sum("asked").over(upto))
+    sized = specs.select("client_id", "family", F.greatest(asked, F.lit(0)).alias("asked"))
+    running = running_total(sized, ["family"], "client_id", "asked", "upto")
     pool = F.coalesce(F.col("pool"), F.lit(0))
     given = running.join(pools, "family", "left").select(
         "client_id",
@@ -112,24 +117,24 @@ def quota_limits(specs: DataFrame, pools: DataFrame, client_size: int, seed: int
             "draw": keyed_uniform(F.col("client_id"), int(seed), "trim"),
         }
     )
-    over = F.greatest(F.col("rows") - F.lit(int(client_size)), F.lit(0))
-    start = F.floor(F.col("draw") * F.col("rows"))
-    picks = F.transform(
-        F.sequence(F.lit(0).cast("long"), over),
-        lambda j: F.pmod(
-            start + F.floor(j * F.col("rows") / F.greatest(over, F.lit(1))), F.greatest(F.col("rows"), F.lit(1))
-        ),
+    # Pick j is at (start + floor(j * rows / over)) mod rows, so ceil(at * over / rows) picks come before a place.
+    counted = counted.withColumns(
+        {"over": F.greatest(F.col("rows") - F.lit(int(client_size)), F.lit(0)), "start": F.floor(F.col("draw") * F.col("rows"))}
     )
-    own_rows = lambda at: (at >= F.col("before")) & (at < F.col("before") + F.col("n"))
-    hit = F.size(F.filter(F.slice(picks, F.lit(1), over.cast("int")), own_rows))
+    low, high = F.col("before") - F.col("start"), F.col("before") + F.col("n") - F.col("start")
+    counted = counted.withColumns({"_a": low, "_b": high, "_c": low + F.col("rows"), "_d": high + F.col("rows")})
+    for name in ("_a", "_b", "_c", "_d"):
+        counted = counted.withColumn(name, F.least(F.greatest(F.col(name), F.lit(0)), F.col("rows")))
+        counted = counted.withColumn(name, F.expr(f"({name} * over + rows - 1) div greatest(rows, 1)"))
+    hit = F.col("_b") - F.col("_a") + F.col("_d") - F.col("_c")
     return counted.select("client_id", "family", "low", (F.col("top") - hit).alias("high"), "top")
 
 
 def fill_limits(limits: DataFrame, client_size: int) -> DataFrame:
     """``(client_id, low, high)``: positions in the shuffled leftovers for clients below ``client_size``."""
     needs = limits.groupBy("client_id").agg((F.lit(client_size) - F.sum(F.col("high") - F.col("low"))).alias("need"))
-    upto = F.sum("need").over(Window.orderBy("client_id"))
-    return needs.where("need > 0").select("client_id", (upto - F.col("need")).alias("low"), upto.alias("high"))
+    needs = running_total(needs.where("need > 0"), [], "client_id", "need", "upto")
+    return needs.select("client_id", (F.col("upto") - F.col("need")).alias("low"), F.col("upto").alias("high"))
 
 
 def deal(ranked: DataFrame, limits: Settled, keys: list[str], rank: str = "rn") -> DataFrame:
@@ -154,11 +159,34 @@ def deal(ranked: DataFrame, limits: Settled, keys: list[str], rank: str = "rn")
     )
 
 
-def shuffle_family(df: DataFrame, row_id: str, seed: int, needed: Settled | None = None) -> DataFrame:
-    """Position of each row in the seeded shuffle of its family (``rn``)."""
-    digest = keyed_md5(F.col(row_id), int(seed))
-    ranked = spread_row_number(df.withColumn("_digest", digest), ["family"], "_digest", [row_id], needed=needed)
-    return ranked.drop("_digest")
+def _bucket(digest: Column) -> Column:
+    return F.conv(F.substring(digest, 1, 4), 16, 10).cast("int")
+
+
+def _block_offsets(rows: DataFrame, keys: Sequence[str]) -> Settled:
+    """``(keys..., _bucket, _size, _offset)``: rows of each block and of the blocks of lower buckets before it.
+
+    Buckets are the first digits of a hash, so a key has at most as many blocks as there are buckets.
+    """
+    sizes = rows.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    return settle(sizes.withColumn("_offset", F.coalesce(F.sum("_size").over(before), F.lit(0).cast("long"))))
+
+
+def _cuts(rows: DataFrame, blocks: Settled, limits: Settled, row_id: str) -> Settled:
+    """``(family, _cut, _last)``: the block and the row at which the quotas of a family end.
+
+    All rows of lower blocks belong to quotas, all of higher ones are left over, so only rows of this block are
+    ranked to find its last quota row. Families without quotas, and those used up, need no search.
+    """
+    tops = limits.derive(limits.df.groupBy("family").agg(F.max("top").alias("_top")).where("_top > 0"))
+    ends = join_checked(blocks.df, tops, ["family"])
+    ends = ends.where((F.col("_offset") < F.col("_top")) & (F.col("_top") <= F.col("_offset") + F.col("_size")))
+    ends = settle(ends.select("family", "_bucket", (F.col("_top") - F.col("_offset")).alias("_at")))
+    inside = join_checked(rows.select("family", row_id, "_digest", "_bucket"), ends, ["family", "_bucket"])
+    order = Window.partitionBy("family").orderBy("_digest", row_id)
+    last = inside.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") == F.col("_at"))
+    return settle(last.select("family", F.col("_bucket").alias("_cut"), F.struct("_digest", row_id).alias("_last")))
 
 
 def split_non_iid(
@@ -178,41 +206,97 @@ def split_non_iid(
     for required in ("family", row_id):
         if required not in df.columns:
             raise ValueError(f"expected a '{required}' column")
-    pools = settle(df.groupBy("family").agg(F.count(F.lit(1)).alias("pool"))).df
+    digest = keyed_md5(F.col(row_id), int(seed))
+    rows = df.withColumn("_digest", digest).withColumn("_bucket", _bucket(F.col("_digest")))
+    blocks = _block_offsets(rows, ["family"])
+    pools = blocks.df.groupBy("family").agg(F.sum("_size").alias("pool"))
     if client_size is None:
-        rows = pools.agg(F.sum("pool")).first()[0] or 0
-        client_size = rows // max(1, specs.select("client_id").distinct().count())
+        total = pools.agg(F.sum("pool")).first()[0] or 0
+        client_size = total // max(1, specs.select("client_id").distinct().count())
     if client_size <= 0:
         raise ValueError("client_size must be greater than 0")
 
     limits = settle(quota_limits(specs, pools, client_size, seed))
-    tops = limits.derive(limits.df.groupBy("family").agg(F.max("top").alias("_needed")))
-    short = limits.derive(fill_limits(limits.df, client_size))
-    wanted = fill and not short.df.isEmpty()
-
-    # Without a fill only the rows of the quotas are wanted; the rest is filtered before the shuffle.
-    ranked = shuffle_family(df, row_id, seed, needed=None if wanted else tops)
-    result = deal(ranked, limits.derive(limits.df.drop("top")), ["family"]).drop("rn")
-    if wanted:
-        unused = join_checked(ranked, tops, ["family"], "left")
-        unused = unused.where(F.col("rn") > F.coalesce(F.col("_needed"), F.lit(0))).drop("_needed", "rn")
-        unused = unused.withColumn("_digest", keyed_md5(F.col(row_id), int(seed), "fill"))
-        leading = F.when(F.col("family").isin(*prefer), F.lit(0)).otherwise(F.lit(1)) if prefer else None
-        total = Settled(short.df.agg(F.max("high").alias("_needed")), True)
-        dealt_rank = spread_row_number(unused, [], "_digest", [row_id], leading=leading, needed=total)
-        result = result.unionByName(deal(dealt_rank.drop("_digest"), short, []).drop("rn").select(result.columns))
-    return result.withColumn("shuffle_key", keyed_md5(F.col(row_id), int(seed), "shuffle"))
+    short = settle(fill_limits(limits.df, client_size))
+    slots = limits.df.select(F.col("family").alias("_pool"), "client_id", "low", "high")
+    offsets = blocks.df.select(F.col("family").alias("_pool"), "_bucket", "_offset")
+    # Rows of lower blocks and, in the block of the cut, up to its last row are those of the quotas.
+    marked = join_checked(rows, _cuts(rows, blocks, limits, row_id), ["family"], "left")
+    at = F.struct("_digest", row_id)
+    quota = (F.col("_bucket") < F.col("_cut")) | ((F.col("_bucket") == F.col("_cut")) & (at <= F.col("_last")))
+    marked = marked.withColumn("_quota", F.coalesce(quota, F.lit(False))).drop("_cut", "_last")
+    if fill and not short.df.isEmpty():
+        leading = F.when(F.col("family").isin(*prefer), F.lit(0)).otherwise(F.lit(1)) if prefer else F.lit(0)
+        unused = keyed_md5(F.col(row_id), int(seed), "fill")
+        order = F.when(F.col("_quota"), F.col("_digest")).otherwise(unused)
+        marked = marked.withColumn("_digest", order).withColumn(
+            "_bucket", F.when(F.col("_quota"), F.col("_bucket")).otherwise(leading * 16**4 + _bucket(F.col("_digest")))
+        )
+        marked = marked.withColumn("_pool", F.when(F.col("_quota"), F.col("family")))
+        wanted = short.df.agg(F.max("high")).first()[0]
+        left = _block_offsets(marked.where("NOT _quota").select("_pool", "_bucket"), ["_pool"])
+        left = left.derive(left.df.where(F.col("_offset") < wanted).select("_pool", "_bucket", "_offset"))
+        offsets = offsets.unionByName(left.df)
+        slots = slots.unionByName(short.df.select(F.lit(None).cast("string").alias("_pool"), "client_id", "low", "high"))
+    else:
+        marked = marked.where("_quota").withColumn("_pool", F.col("family"))
+
+    # One ranking for both: a row is numbered within its block, and blocks that nobody needs are gone before that.
+    named = lambda df: df.withColumn("_pool", F.coalesce(F.concat(F.lit("="), "_pool"), F.lit("")))
+    placed = join_checked(named(marked), blocks.derive(named(offsets)), ["_pool", "_bucket"])
+    inside = Window.partitionBy("_pool", "_bucket").orderBy("_digest", row_id)
+    ranked = placed.withColumn("rn", F.row_number().over(inside) + F.col("_offset")).drop("_offset", "_bucket", "_digest", "_quota")
+    dealt = deal(ranked, limits.derive(named(slots)), ["_pool"]).select(*df.columns, "client_id")
+    return dealt.withColumn("shuffle_key", keyed_md5(F.col(row_id), int(seed), "shuffle"))
 
 
 def family_counts(df: DataFrame, keys: Sequence[str] = ("client_id",)) -> DataFrame:
     return df.groupBy(*keys, "family").agg(F.count(F.lit(1)).alias("n"))
 
 
+def manifest_lines(manifest: DataFrame, parameters: dict) -> DataFrame:
+    """``(section, place, line)``: in this order the lines are one JSON object of the whole split.
+
+    It has the parameters, a list ``specs`` of names and shares, and a map ``clients`` of rows and family counts.
+    Each client is a line of its own, made where its row is, so no task holds the object.
+    """
+    spark = manifest.sparkSession
+    name = F.to_json(F.struct("name"))
+    quoted = F.expr("substr(_name, 9, length(_name) - 9)")  # the JSON text of the name alone
+    spec = F.to_json(F.struct("name", "proportions"))
+    counts = F.to_json(F.struct("client_id", "rows", F.coalesce("family_counts", F.create_map().cast("map<string, bigint>")).alias("family_counts")))
+    rows = manifest.withColumn("_name", name).select("client_id", spec.alias("spec"), F.concat(quoted, F.lit(": "), counts).alias("client"))
+    limits = rows.agg(F.max("client_id")).first()[0]
+    ending = F.when(F.col("client_id") == F.lit(limits), F.lit("")).otherwise(F.lit(","))
+    place = F.col("client_id").cast("long").alias("place")
+    line = lambda section, text: rows.select(F.lit(section).alias("section"), place, F.concat(F.col(text), ending).alias("line"))
+    head = "".join(f"{json.dumps(key)}: {json.dumps(value)},\n" for key, value in parameters.items())
+    fixed = literal_table(
+        spark, [(0, 0, "{\n" + head + '"specs": ['), (2, 0, '],\n"clients": {'), (4, 0, "}\n}")], "section int, place long, line string"
+    )
+    return fixed.unionByName(line(1, "spec")).unionByName(line(3, "client"))
+
+
 def write_manifest(manifest: DataFrame, path: str, source: str, output: str) -> None:
-    """Manifest as JSON: one object per client, each with the parameters of the whole split."""
-    n_clients = manifest.select("client_id").distinct().count()
-    described = manifest.withColumns({"n_clients": F.lit(n_clients), "source": F.lit(source), "output_dir": F.lit(output)})
-    described.write.mode("errorifexists").json(path)
+    """One JSON object for the whole split, as one text file in the folder ``path``, streamed in order by one task."""
+    shared = manifest.agg(F.count(F.lit(1)).alias("n_clients"), F.max("client_size").alias("client_size"), F.max("seed").alias("seed"))
+    parameters = {**shared.first().asDict(), "source": source, "output_dir": output}
+    lines = manifest_lines(manifest, parameters).repartition(1).sortWithinPartitions("section", "place")
+    lines.select("line").write.mode("errorifexists").text(path)
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """A written manifest, one row per client, as ``split_manifest`` gives it, with ``source`` and ``output_dir``."""
+    client = "struct<client_id: int, rows: bigint, family_counts: map<string, bigint>>"
+    schema = (
+        "n_clients bigint, client_size int, seed int, source string, output_dir string, "
+        f"specs array<struct<name: string, proportions: map<string, double>>>, clients map<string, {client}>"
+    )
+    whole = spark.read.schema(schema).option("multiLine", True).json(path)
+    shared = ["n_clients", "client_size", "seed", "source", "output_dir"]
+    named = whole.select(*shared, F.col("specs"), F.explode("clients").alias("name", "client"))
+    found = F.filter("specs", lambda spec: spec["name"] == F.col("name"))
+    return named.select("client.client_id", "name", *shared, F.get(found, 0)["proportions"].alias("proportions"), "client.rows", "client.family_counts")
 
 
 def split_manifest(dealt: DataFrame, specs: DataFrame, client_size: int, seed: int) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from trustframe.operators.materialize import Settled, join_checked
+from trustframe.operators.materialize import Settled, cut_lineage, join_checked, settle
 from trustframe.operators.order_stats import kth_smallest
 
 # Spark drops rows beyond the limit before the shuffle for row_number() <= k up to this k.
@@ -53,6 +53,44 @@ def spread_row_number(
     return ranked.drop("_inner", "_offset", "_bucket")
 
 
+def range_row_number(df: DataFrame, keys: list[str], order: list[str], out: str = "rn") -> DataFrame:
+    """``row_number() over (partition by keys order by order)`` by sorting ranges, for keys of any size.
+
+    Rows are sorted by range and written; every range counts its rows of a key, and sums of these counts, a row for
+    each range and key, tell where the range starts. Rows should differ in ``order`` for the numbers to be unique.
+    """
+    by = [*keys, *order]
+    spread = df.repartitionByRange(*by).sortWithinPartitions(*by)
+    rows = cut_lineage(spread.withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    counts = rows.groupBy(*keys, part.alias("_part")).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = settle(counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0).cast("long"))).drop("_n"))
+    placed = join_checked(rows.withColumn("_part", part), starts, [*keys, "_part"])
+    return placed.withColumn(out, F.col("_at") - F.col("_first") + F.col("_before") + 1).drop("_at", "_part", "_first", "_before")
+
+
+def running_total(
+    df: DataFrame, keys: list[str], order: str, value: str, out: str, step: int = 4096
+) -> DataFrame:
+    """``sum(value) over (partition by keys order by order)`` for integers ``order`` that are unique within a key.
+
+    Totals are taken over blocks of ``step`` consecutive integers, and the totals of blocks likewise, so no window
+    holds more than ``step`` rows, even without ``keys``.
+    """
+    limits = df.agg(F.min(order).alias("low"), F.max(order).alias("high")).first()
+    low = limits["low"] or 0  # blocks start at the least integer, so each level has fewer of them
+    rows = df.withColumn("_block", F.expr(f"(`{order}` - {low}L) div {step}L"))
+    inside = Window.partitionBy(*keys, "_block").orderBy(order)
+    if limits["low"] is None or limits["high"] - low < step:
+        return rows.withColumn(out, F.sum(value).over(inside)).drop("_block")
+    totals = rows.groupBy(*keys, "_block").agg(F.sum(value).alias("_sum"))
+    before = running_total(totals.withColumnRenamed("_block", "_at"), keys, "_at", "_sum", "_upto", step)
+    before = before.select(*keys, F.col("_at").alias("_block"), (F.col("_upto") - F.col("_sum")).alias("_before"))
+    joined = rows.withColumn("_in", F.sum(value).over(inside)).join(before, [*keys, "_block"])
+    return joined.withColumn(out, F.col("_in") + F.col("_before")).drop("_block", "_in", "_before")
+
+
 def smallest_limit(
     df: DataFrame, keys: list[str], value: str, tie: str, k: int, group_limit: int = GROUP_LIMIT
 ) -> DataFrame:

@@ -10,12 +10,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from trustframe.functions import arrays
 from trustframe.functions.scalars import clip
 from trustframe.operators.features import numeric_columns
-from trustframe.operators.materialize import join_checked, settle
-from trustframe.operators.order_stats import DIRECT_ROWS, exact_median, largest_group
+from trustframe.operators.materialize import cut_lineage, join_checked, settle
+from trustframe.operators.order_stats import DIRECT_ROWS, exact_median, largest_group, with_counted_median
 from trustframe.operators.rank import smallest_limit
 from trustframe.operators.updates import (
     KEYS,
     assemble,
+    checked_updates,
     clip_updates,
     coordinate_median,
     flatten,
@@ -151,8 +152,13 @@ def merge_scored(scored: DataFrame, config: MergeConfig, keys: Sequence[str] = K
 
 
 def merge_updates(updates: DataFrame, config: MergeConfig, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Merged update of each group as ``(keys..., pos, value)``; clipping applies to every strategy."""
-    return merge_scored(score_updates(clip_updates(updates, config.clip_norm), config, keys), config, keys)
+    """Merged update of each group as ``(keys..., pos, value)``; clipping applies to every strategy.
+
+    The clipped updates are written once and checked on the way: none at all, different lengths in a group and
+    weights that sum to nothing raise.
+    """
+    checked = checked_updates(clip_updates(updates, config.clip_norm), keys)
+    return merge_scored(score_updates(checked, config, keys), config, keys)
 
 
 def client_feedback(scored: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -193,25 +199,28 @@ def cross_layer_score(
         for layer, columns in layers.items()
         for column in columns
     ]
-    rows = largest_group(records, [client])
-    one_column = {"group_rows": rows, "direct_rows": direct_rows}
-    one_layer = {"group_rows": rows * max(map(len, layers.values())), "direct_rows": direct_rows}
-    long = records.select(client, F.inline(F.array(*cells))).withColumn(
-        "x", F.when(~F.isnan("x"), F.col("x"))
-    )
-    medians = settle(exact_median(long, [client, "feature"], "x", out="center", **one_column).drop("n"))
-    centered = join_checked(long, medians, [client, "feature"], "left").withColumn(
-        "distance", F.abs(F.col("x") - F.col("center"))
-    )
-    spreads = settle(exact_median(centered, [client, "feature"], "distance", out="mad", **one_column).drop("n"))
+    # The records are exploded once. What follows works on the different values of each feature with their counts, so
+    # equal cells of a hot client are summed up before the shuffle and its other cells are spread by value.
+    long = records.select(client, F.inline(F.array(*cells))).withColumn("x", F.when(~F.isnan("x"), F.col("x")))
+    values = cut_lineage(long.groupBy(client, "layer", "feature", "x").agg(F.count(F.lit(1)).alias("times")))
+    of_feature, of_layer = [client, "layer", "feature"], [client, "layer"]
+    rows = largest_group(values, of_layer)
+    if rows <= direct_rows:
+        centered = with_counted_median(values, of_feature, "x", "times", "center")
+        centered = centered.withColumn("distance", F.abs(F.col("x") - F.col("center")))
+        spread = with_counted_median(centered, of_feature, "distance", "times", "mad")
+    else:
+        limits = {"group_rows": rows, "direct_rows": direct_rows, "weight": "times"}
+        medians = settle(exact_median(values, of_feature, "x", out="center", **limits).drop("n"))
+        centered = join_checked(values, medians, of_feature, "left")
+        centered = centered.withColumn("distance", F.abs(F.col("x") - F.col("center")))
+        spreads = settle(exact_median(centered, of_feature, "distance", out="mad", **limits).drop("n"))
+        spread = join_checked(centered, spreads, of_feature, "left")
     z = F.col("distance") / F.nullif("mad", F.lit(0.0))
     finite = F.coalesce(F.when(F.isnan(z) | (F.abs(z) == float("inf")), F.lit(0.0)).otherwise(z), F.lit(0.0))
+    counted = spread.groupBy(*of_layer, finite.alias("z")).agg(F.sum("times").alias("times"))
     intensities = exact_median(
-        join_checked(centered, spreads, [client, "feature"], "left").withColumn("z", finite),
-        [client, "layer"],
-        "z",
-        out="intensity",
-        **one_layer,
+        counted, of_layer, "z", out="intensity", group_rows=rows, direct_rows=direct_rows, weight="times"
     )
     return intensities.groupBy(client).agg(
         clip(F.lit(1.0) / (F.lit(1.0) + F.stddev_pop("intensity")), 0.0, 1.0).alias("score")

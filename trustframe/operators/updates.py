@@ -10,10 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from trustframe.functions import arrays
-from trustframe.operators.materialize import join_checked, settle
+from trustframe.operators.materialize import cut_lineage, join_checked, settle
 from trustframe.operators.order_stats import DIRECT_ROWS, largest_group, lower_median, select_ranks
 
 KEYS = ("scenario_id", "round")
@@ -39,6 +39,28 @@ def validate_updates(updates: DataFrame, keys: Sequence[str] = KEYS) -> None:
         raise ValueError("sum of client weights must be greater than 0")
 
 
+def checked_updates(updates: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Write updates to the checkpoint folder and go on from there; raise when they cannot be merged.
+
+    What tells sound updates is observed while they are written: some rows, one length, weights above 0. Only where
+    lengths differ or a weight is not above 0 are the groups looked at one by one.
+    """
+    seen = Observation()
+    width, weight = F.size("values"), F.col("weight").cast("double")
+    observed = updates.observe(
+        seen,
+        F.count(F.lit(1)).alias("rows"),
+        F.min(width).alias("shortest"),
+        F.max(width).alias("longest"),
+        F.count_if(F.coalesce(weight > 0, F.lit(False))).alias("weighted"),
+    )
+    kept = cut_lineage(observed)
+    found = seen.get
+    if not found["rows"] or found["shortest"] != found["longest"] or found["weighted"] != found["rows"]:
+        validate_updates(kept, keys)
+    return kept
+
+
 def flatten(updates: DataFrame, keep: Sequence[str]) -> DataFrame:
     """One row per coordinate: the kept columns, ``pos`` and ``value``."""
     return updates.select(*keep, F.posexplode("values").alias("pos", "value"))

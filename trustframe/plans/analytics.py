@@ -25,11 +25,18 @@ NO_SIGNAL = "accuracy"
 
 
 def merge_runs(runs: Mapping[str, DataFrame]) -> DataFrame:
-    """Logs of several runs under each other, latest row per round; columns a run lacks are null."""
-    frames = [latest_rounds(frame.withColumn("run_name", F.lit(name))) for name, frame in runs.items()]
+    """Logs of several runs under each other, latest row per round; columns a run lacks are null.
+
+    The logs become one table first, so any number of runs is reduced by one aggregate with the run as a key. A log
+    without ``round`` is a single point, round 1.
+    """
+    frames = [
+        frame.withColumns({"run_name": F.lit(name), "round": (F.col("round") if "round" in frame.columns else F.lit(1)).cast("int")})
+        for name, frame in runs.items()
+    ]
     if not frames:
         raise ValueError("no runs to merge")
-    merged = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    merged = latest_rounds(functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames))
     return merged.select("run_name", *[name for name in merged.columns if name != "run_name"])
 
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+import re
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from trustframe.functions.labels import normalize_label
+from trustframe.operators.materialize import any_path
+from trustframe.operators.rank import first_k
 
 # Feature names of the public KDD'99 family of datasets, in file order.
 FEATURES = [
@@ -24,6 +29,7 @@ DIFFICULTY = ("difficulty", "difficulty_level")
 
 COMMA = ","
 WHITE_SPACE = "whitespace"
+QUOTED_COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
 COPIES_PER_TASK = 100_000
 NESTED = (T.ArrayType, T.MapType, T.StructType)
 
@@ -49,22 +55,54 @@ def record_schema(names: Sequence[str]) -> T.StructType:
     )
 
 
-def detect_layout(spark: SparkSession, path: str, sample_lines: int = 5) -> tuple[str, int]:
-    """Delimiter and column count from the first lines of a file; an empty file reads as white space, 0 columns.
+SAMPLE_LINES = 5
+# Heads of up to so many files are read one by one, which reads little else; those of more files in one scan.
+FEW_FILES = 16
+
+
+def file_heads(spark: SparkSession, path: str, sample_lines: int = SAMPLE_LINES, few_files: int = FEW_FILES) -> dict[str, list[str]]:
+    """The first lines of each file at ``path``."""
+    files = spark.read.text(path).inputFiles()
+    if len(files) <= few_files:
+        return {file: [row[0] for row in spark.read.text(unquote(file)).limit(sample_lines).collect()] for file in files}
+    # The start of a file is read by one task from top to bottom, so its lines have rising numbers there.
+    lines = spark.read.text(path).where("_metadata.file_block_start = 0").select(
+        F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("number"), "value"
+    )
+    found: dict[str, list[str]] = {file: [] for file in files}
+    for row in first_k(lines, ["file"], [F.col("number").asc()], sample_lines).orderBy("number").collect():
+        found.setdefault(row["file"], []).append(row["value"])
+    return found
+
+
+def layout_of(lines: Sequence[str]) -> tuple[str, int]:
+    """Delimiter and column count by the first lines of a file; an empty file reads as white space, 0 columns.
 
     The file is comma separated when at least half of the lines, and at least one, hold a comma.
     """
-    lines = [row[0].strip() for row in spark.read.text(path).limit(sample_lines).collect()]
+    lines = [text.strip() for text in lines]
     if not lines:
         return WHITE_SPACE, 0
     votes = sum(COMMA in line for line in lines)
     delimiter = COMMA if votes >= max(1, len(lines) // 2) else WHITE_SPACE
     if not lines[0]:
         return delimiter, 0
-    if delimiter == WHITE_SPACE:
-        return delimiter, len(lines[0].split())
-    parsed = spark.range(1).select(F.size(F.split(F.lit(lines[0]), r',(?=(?:[^"]*"[^"]*")*[^"]*$)')))
-    return delimiter, parsed.first()[0]
+    return delimiter, len(lines[0].split() if delimiter == WHITE_SPACE else re.split(QUOTED_COMMA, lines[0]))
+
+
+def detect_layout(spark: SparkSession, path: str, sample_lines: int = SAMPLE_LINES) -> tuple[str, int]:
+    """Delimiter and column count of one file."""
+    return layout_of([row[0] for row in spark.read.text(path).limit(sample_lines).collect()])
+
+
+def detect_layouts(spark: SparkSession, path: str) -> dict[tuple[str, int], list[str]]:
+    """Files at ``path`` by their layout; empty files are left out."""
+    groups: dict[tuple[str, int], list[str]] = {}
+    for file, lines in sorted(file_heads(spark, path).items()):
+        layout = layout_of(lines)
+        if layout[1]:
+            groups.setdefault(layout, []).append(unquote(file))
+    return groups
 
 
 def parse_fields(fields: Column, schema: T.StructType) -> list[Column]:
@@ -77,24 +115,33 @@ def parse_fields(fields: Column, schema: T.StructType) -> list[Column]:
     return out
 
 
+def parse_lines(lines: DataFrame, delimiter: str, schema: T.StructType) -> DataFrame:
+    """Records from text lines ``value`` of one layout: typed, without difficulty, with normalised labels."""
+    filled = lines.where(F.trim("value") != "")
+    if delimiter == COMMA:
+        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+        options = {"sep": COMMA, "escape": '"', "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
+        rows = filled.select(F.from_csv("value", kinds, options).alias("_record")).select("_record.*")
+    else:
+        rows = filled.select(*parse_fields(F.split(F.trim("value"), r"\s+"), schema))
+    return clean_records(rows)
+
+
 def read_records(spark: SparkSession, path: str, keep_row_id: bool = True) -> DataFrame:
-    """Labelled records of a comma or white space separated text file without header.
+    """Labelled records of comma or white space separated text without header: a file, a folder or a pattern.
 
-    The difficulty column is dropped, labels are normalised, and ``row_id`` is added. A missing path is an error
-    of the reader. Large files are read in splits.
+    Delimiter and width are decided for each file, and files of one layout are read together, so a folder may hold
+    both kinds; columns that a layout lacks are null. The difficulty column is dropped, labels are normalised, and
+    ``row_id`` is added. A missing path is an error of the reader. Large files are read in splits.
     """
-    delimiter, width = detect_layout(spark, path)
-    if width == 0:
+    groups = detect_layouts(spark, path)
+    if not groups:
         raise ValueError(f"no records in {path}")
-    schema = record_schema(column_names(width))
-    if delimiter == COMMA:
-        rows = spark.read.schema(schema).csv(
-            path, sep=COMMA, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True
-        )
-    else:
-        lines = spark.read.text(path).select(F.trim("value").alias("value")).where("value <> ''")
-        rows = lines.select(*parse_fields(F.split("value", r"\s+"), schema))
-    rows = clean_records(rows)
+    parts = [
+        parse_lines(spark.read.text(files), delimiter, record_schema(column_names(width)))
+        for (delimiter, width), files in sorted(groups.items())
+    ]
+    rows = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     return with_row_id(rows) if keep_row_id else rows
 
 
@@ -145,16 +192,19 @@ def read_client_tables(spark: SparkSession, path: str, schema: T.StructType | No
 
 
 def read_client_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Client tables kept as ``client_<number>.csv`` files with a header; the number becomes ``client_id``.
+    """Client tables kept as CSV with a header: files ``client_<number>.csv``, or folders ``client_id=<number>``.
 
     All files share the record layout, whose column names are known, so types are not inferred. A column of the
     header with an unknown name is read as text. Having no such file is an error of the reader.
     """
-    files = path.rstrip("/") + "/client_*.csv"
+    root = path.rstrip("/")
+    files, number = f"{root}/client_*.csv", r"/client_(\d+)\.csv$"
+    if any_path(spark, f"{root}/client_id=*"):
+        files, number = f"{root}/client_id=*/*.csv", r"/client_id=(\d+)/[^/]*$"
     header = spark.read.csv(files, header=True, enforceSchema=False).limit(0).columns
     rows = spark.read.csv(files, header=True, schema=record_schema(header), enforceSchema=False)
-    number = F.regexp_extract(F.col("_metadata.file_name"), r"client_(\d+)", 1).cast("int")
-    return clean_records(rows.withColumn("client_id", number))
+    client = F.regexp_extract(F.col("_metadata.file_path"), number, 1).cast("int")
+    return clean_records(rows.withColumn("client_id", client))
 
 
 def write_client_tables(
@@ -165,10 +215,19 @@ def write_client_tables(
     Each client is written by up to ``files_per_client`` tasks, so a large client is not one task and a small one
     not thousands of files.
     """
+    _by_client(dealt, drop_family, files_per_client).write.mode("errorifexists").partitionBy("client_id").parquet(path)
+
+
+def write_client_csv(dealt: DataFrame, path: str, drop_family: bool = True, files_per_client: int = 16) -> None:
+    """The same as CSV with a header in every file, which ``read_client_csv`` reads back."""
+    placed = _by_client(dealt, drop_family, files_per_client)
+    placed.write.mode("errorifexists").partitionBy("client_id").csv(path, header=True)
+
+
+def _by_client(dealt: DataFrame, drop_family: bool, files_per_client: int) -> DataFrame:
     part = F.pmod(F.xxhash64("shuffle_key"), F.lit(files_per_client))
     placed = dealt.repartition("client_id", part).sortWithinPartitions("client_id", "shuffle_key")
-    columns = ["shuffle_key"] + (["family"] if drop_family else [])
-    placed.drop(*columns).write.mode("errorifexists").partitionBy("client_id").parquet(path)
+    return placed.drop("shuffle_key", *(["family"] if drop_family else []))
 
 
 def label_profile(rows: DataFrame, label: str = "label", top: int = 10) -> DataFrame:
