@@ -114,7 +114,7 @@ def test_two_thousand_scenarios(spark, data):
     """All share the first state, so one round trains each client once for each flip rate; plans do not grow."""
     picked = spark.range(2000).select(F.col("id").cast("int").alias("scenario_id"))
     attackers = picked.where("scenario_id % 2 = 1").select("scenario_id", F.lit(2).cast("long").alias("client_id"), F.lit(1.0).alias("flip_rate"))
-    table = ScenarioTable(picked, materialize.settle(attackers))
+    table = ScenarioTable.from_tables(picked, attackers)
     result = run(data, rounds=1, scenarios=table)
     rows = result.rounds.collect()
     few = {r["scenario_id"]: r for r in run(data, rounds=1, scenarios=[learners.Scenario(0), learners.Scenario(1, (2,), 1.0)]).rounds.collect()}
@@ -127,7 +127,7 @@ def test_poisoned_sums_equal_flipped_labels(spark, data):
     train = data[0]
     rows = [(0, 1, 0.3), (0, 2, 1.0), (1, 1, 0.7), (2, 1, 0.3), (3, 3, 1e-9)]
     ids = spark.createDataFrame([(i,) for i in range(5)], "scenario_id int")
-    table = ScenarioTable(ids, materialize.settle(spark.createDataFrame(rows, "scenario_id int, client_id long, flip_rate double")))
+    table = ScenarioTable.from_tables(ids, spark.createDataFrame(rows, "scenario_id int, client_id long, flip_rate double"))
     state = ids.select("scenario_id", F.array(F.lit(0.1) * F.col("scenario_id"), F.lit(-0.2), F.lit(0.05)).alias("weights"))
     learner = learners.LinearLearner(0.5, steps=2)
     got = {(r["scenario_id"], r["client_id"]): r for r in learner.train(train, COLUMNS, state, table, 3, 11).collect()}

@@ -140,15 +140,17 @@ class _Loop:
         )
 
     def run(self) -> TrainResult:
-        state = self.start()
+        state = settle(self.start())
         states, feedback = [state], []
         for number in range(1, self.config.rounds + 1):
-            moved, told = self.round(state, number)
-            state = settle(moved).df
+            moved, told = self.round(state.df, number)
+            state = settle(moved)
             states.append(state)
             feedback.append(told)
-        all_states = functools.reduce(DataFrame.unionByName, states)
-        scores = self.score(settle(all_states.where("round > 0") if feedback else all_states))
+        all_states = functools.reduce(DataFrame.unionByName, [s.df for s in states])
+        to_score = all_states.where("round > 0") if feedback else all_states
+        few = all(s.small for s in states) and len(states) <= 64
+        scores = self.score(Settled(to_score, True) if few else settle(to_score))
         if not feedback:
             return TrainResult(scores, _no_feedback(self.rows.sparkSession), all_states)
         messages = functools.reduce(DataFrame.unionByName, feedback)
