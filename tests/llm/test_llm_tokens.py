@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import unicodedata
 
 import public_tokenizers
 import pytest
@@ -107,3 +108,13 @@ def test_other_files_are_refused_and_empty_tables_stay_empty(spark):
         bpe.WordBpe(public_tokenizers.path("byte_bpe_50k.json"))
     assert bpe.encode(no_documents(spark), WORDS, bpe.DIGESTS).count() == 0
     assert token_counts.count_tokens(no_documents(spark), PIECES).count() == 0
+
+
+def test_marks_newer_than_the_library_are_neither_ordered_nor_composed():
+    library, model = Tokenizer.from_file(WORDS), bpe.WordBpe(WORDS)
+    marks = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.combining(chr(c))]
+    texts = [f"a\u0345{m}\u0334e{m}\u0323\u0301{m}x" for m in marks] + ["\u0f37\U0001e2ef"]
+    for text, want in zip(texts, library.encode_batch(texts, add_special_tokens=False)):
+        chunks = model.chunks(text)
+        model.learn(set(chunks))
+        assert [int(i) for c in chunks for i in model.known[c][1].split()] == want.ids, hex(ord(text[2]))

@@ -46,6 +46,15 @@ NOT_YET_ALPHANUMERIC = (
     r"\U0001e6fe-\U0001e6ff\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead\U000323b0-\U00033479"
     r"\U0003d000-\U0003fc3f"
 )
+# Combining marks that are newer than the library's tables of composition, which neither order nor
+# compose them.
+UNORDERED_MARKS = (
+    r"\u07fd\u0898-\u089f\u08ca-\u08d3\u09fe\u0c3c\u0d3b-\u0d3c\u0eba\u1715\u1abf-\u1ace\u1df6-\u1dfa\ua82c"
+    r"\U00010d24-\U00010d27\U00010eab-\U00010eac\U00010efd-\U00010eff\U00010f46-\U00010f50\U00010f82-\U00010f85"
+    r"\U00011070\U0001133b\U0001145e\U00011839-\U0001183a\U0001193d-\U0001193e\U00011943\U000119e0\U00011a34"
+    r"\U00011a47\U00011a99\U00011d42\U00011d44-\U00011d45\U00011d97\U00011f41-\U00011f42\U00016ff0-\U00016ff1"
+    r"\U0001e08f\U0001e130-\U0001e136\U0001e2ae\U0001e2ec-\U0001e2ef\U0001e4ec-\U0001e4ef"
+)
 # Lower case of letters that this Python does not know yet.
 NEWER_LOWER = {
     0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB,
@@ -89,6 +98,7 @@ class WordBpe:
         self.keys, self.ranks, self.merged = keys[order], order.astype(np.int32), merged
         self.pattern = regex.compile(SPLIT)
         self.specials = regex.compile("(" + "|".join(regex.escape(s) for s in self.special) + ")")
+        self.unordered = regex.compile(f"([{UNORDERED_MARKS}])")
         self.newer = regex.compile("[" + "".join(map(chr, NEWER_LOWER)) + "]")
         self.known: dict[str | tuple[str], tuple[int, str, str]] = {}
 
@@ -101,7 +111,10 @@ class WordBpe:
 
     def _plain(self, text: str) -> list[str]:
         if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
+            if self.unordered.search(text):  # each stands between texts that are composed by themselves
+                text = "".join(p if i % 2 else unicodedata.normalize("NFC", p) for i, p in enumerate(self.unordered.split(text)))
+            else:
+                text = unicodedata.normalize("NFC", text)
             if "Σ" in text:
                 text = text.replace("Σ", "σ")  # the library lowers each letter by itself, so no final form
             if self.newer.search(text):
