@@ -193,7 +193,7 @@ def sample_labels(labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[DataFram
     shares = {c: min(1.0, wanted[c] / max(1, sizes.get(c, 0))) for c in (0, 1)}
     place = F.xxhash64("doc_id", F.lit("toxicity")).cast("double") / F.lit(2.0**64) + 0.5
     kept = rows.where(place < F.when(F.col("toxic") == 1, F.lit(shares[1])).otherwise(F.lit(shares[0])))
-    return kept.limit(max_rows + max_rows // 10), shares
+    return kept.orderBy(place, "doc_id", "toxic").limit(max_rows + max_rows // 10), shares
 
 
 def find_stems(sampled: DataFrame) -> list[tuple[str, int, int]]:
@@ -255,7 +255,10 @@ def choose_voters(found: list[tuple[str, int, int]], rows: list[dict]) -> list[i
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> ToxicityModel:
-    """Fit on the labelled rows of ``docs`` (``doc_id``, ``text``); the caller keeps back what is to be held out."""
+    """Fit on the labelled rows of ``docs`` (``doc_id``, ``text``).
+
+    The caller keeps what is to be held out back from both tables: classes are counted over all ``labels`` given.
+    """
     chosen, shares = sample_labels(labels, max_rows)
     sampled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
     found = find_stems(sampled)
@@ -299,7 +302,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
 def learn(spark, docs: DataFrame, sf_dir: str) -> ToxicityModel:
     """Fit on the documents and labels that are not held out."""
-    return fit(docs.where(~held_out()), read_table(spark, sf_dir, "labels"))
+    return fit(docs.where(~held_out()), read_table(spark, sf_dir, "labels").where(~held_out()))
 
 
 def toxicity_query(spark, sf_dir: str) -> DataFrame:
