@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 from llm_tables import CLASHES, no_documents, odd_documents, odd_rows, write_tables
 
 from trustframe.llm import language_id, toxicity
@@ -113,3 +114,24 @@ def test_toxicity_fits_on_the_features_it_scores(spark, monkeypatch):
     texts = [r.text for r in docs.join(labels.where("toxic IN (0, 1)"), "doc_id").select("text").collect()]
     want = [model.features(*toxicity.votes(text, matcher)).round(9).tolist() for text in texts]
     assert sorted(seen[0].round(9).tolist()) == sorted(want)
+
+
+def test_copies_of_a_hot_text_cost_no_language(spark):
+    """One text with thousands of copies, few texts of another language: both are learned."""
+    hot = [("en", f"the water of the river was cold {i}") for i in range(20)]
+    rows = [(i, *hot[i % 20][::-1]) for i in range(6000)] + [(10_000 + i, f"das ist ein anderer kurzer satz nummer {i}", "de") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs, max_rows=100)
+    assert model.languages == ("de", "en")
+    sampled = language_id.sample_rows(docs, "text", F.col("lang"), 100)
+    assert sampled.count() == sampled.select("text").distinct().count()
+    assert sampled.where("label = 'en'").count() == 20
+
+
+def test_held_out_labels_change_no_model(spark):
+    docs = read_table(spark, SF, "documents")
+    labels = read_table(spark, SF, "labels")
+    flipped = labels.withColumn("toxic", F.when(language_id.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    taught = lambda table: toxicity.fit(docs.where(~language_id.held_out()), table.where(~language_id.held_out()), max_rows=60)
+    one, other = taught(labels), taught(flipped)
+    assert one.keys == other.keys and one.beta.tolist() == other.beta.tolist()

@@ -6,14 +6,15 @@ gradient descent in numpy on a bounded sample of labelled documents. Scores are
 a part of the sample that the training did not see, and a prediction whose calibrated score is below the threshold that
 keeps the wanted precision there is marked as rejected.
 
-The sample: a hash of the text orders the labelled rows, and each language gives an equal share of ``max_rows`` at
-most; of a sampled text the n-grams at up to ``max_grams`` evenly spread places are used. Predictions use all n-grams
+The sample: a hash of the text orders the different labelled texts, and each language gives an equal share of
+``max_rows``; copies of a text count once. Of a sampled text the n-grams at up to ``max_grams`` evenly spread places are used. Predictions use all n-grams
 of the whole text. At prediction the average of embeddings times the softmax weights is the average of their product,
 so one small table (buckets x languages) goes to the tasks.
 
 Nulls and edge cases: a text that is null or has no letter is ``und`` with score 0. Rows without language or text are
 no training rows. Without any training row every document is ``und``. A language of one row is learned like others.
-Ties and repeated rows change nothing. Very long texts are worked through in pieces. Columns beside id, text and language are not read.
+Repeated rows
+and copies change nothing in training. Very long texts are worked through in pieces. Columns beside id, text and language are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from trustframe.llm.common import map_slices, read_table
 
@@ -33,6 +34,7 @@ WIDTH = 16
 EPOCHS = 4
 RATE = 0.1
 MAX_ROWS = 6000  # labelled rows of the sample, all languages together
+MAX_LABELS = 1000  # languages that are learned: those of the most different texts
 MAX_GRAMS = 1500  # n-grams of each order used from a sampled text
 CALIBRATION = 5  # every fifth sampled row calibrates and does not train
 PRECISION = 0.99
@@ -148,19 +150,24 @@ def calibrate(logits: np.ndarray, labels: np.ndarray, precision: float = PRECISI
 
 
 def sample_rows(labelled: DataFrame, text_col: str, label: Column, max_rows: int = MAX_ROWS) -> DataFrame:
-    """``(text, label, _order)``: about ``max_rows`` rows with an equal share for each label, chosen by a hash of the text.
+    """``(text, label, _order)``: about ``max_rows`` texts with an equal share for each label, chosen by a hash.
 
-    Shares are met by a threshold on the hash computed from counts, so no label's rows are sorted in one task.
+    Copies of a text with one label count once, so they neither thin out the others of the label nor fill the sample.
+    Shares are met by a threshold on the hash computed from counts, so no label's rows are sorted in one task; each
+    label has its own bound of twice its share. The ``MAX_LABELS`` labels of the most texts are learned.
     """
     rows = labelled.select(F.col(text_col).alias("text"), label.alias("label")).where(F.col("text").isNotNull() & F.col("label").isNotNull())
     rows = rows.withColumn("_order", F.xxhash64("text", F.lit("sample")))
-    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc()).limit(1000).collect()}
+    different = rows.select("label", "_order").distinct().groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    counts = {r["label"]: r["n"] for r in different.orderBy(F.col("n").desc(), "label").limit(MAX_LABELS).collect()}
     share = max(1, max_rows // max(1, len(counts)))
     kept = F.lit(False)
     for value, n in counts.items():
         low = (F.col("_order").cast("double") / F.lit(2.0**64) + 0.5) < F.lit(min(1.0, share / n))
         kept = kept | ((F.col("label") == F.lit(value)) & low)
-    return rows.where(kept)
+    once = rows.where(kept).dropDuplicates(["label", "_order"])
+    first = Window.partitionBy("label").orderBy("_order")
+    return once.withColumn("_place", F.row_number().over(first)).where(F.col("_place") <= 2 * share).drop("_place")
 
 
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", max_rows: int = MAX_ROWS) -> LanguageModel:
@@ -181,9 +188,9 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", ma
         return columns
 
     schema = "label string, found array<int>, share array<double>, place long"
-    collected = map_slices(sampled, grams, schema).orderBy("place").limit(max_rows).toArrow()
-    order = np.argsort(collected["place"].to_numpy(), kind="stable")
+    collected = map_slices(sampled, grams, schema).toArrow()
     labels = collected["label"].to_pylist()
+    order = np.lexsort((np.unique(labels, return_inverse=True)[1] if labels else [], collected["place"].to_numpy()))
     languages = tuple(sorted(set(labels)))
     if not languages:
         return LanguageModel((), np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 1.0)
