@@ -45,7 +45,7 @@ def with_family(
     The mapping has a few dozen fixed entries, so it is a CASE expression inside the scan stage: no join at all.
     """
     if label_col not in df.columns:
-        raise ValueError(f"expected a '{label_col}' column to derive attack families")
+        raise ValueError(f"families come from labels, but there is no column {label_col}")
     members = FAMILY_MEMBERS if members is None else members
     label = normalize_label(F.col(label_col))
     family = F.lit(UNKNOWN_FAMILY)
