@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from trustframe.functions import arrays
 from trustframe.operators.materialize import cut_lineage, join_checked, settle
@@ -42,20 +42,18 @@ def validate_updates(updates: DataFrame, keys: Sequence[str] = KEYS) -> None:
 def checked_updates(updates: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Write updates to the checkpoint folder and go on from there; raise when they cannot be merged.
 
-    What tells sound updates is observed while they are written: some rows, one length, weights above 0. Only where
-    lengths differ or a weight is not above 0 are the groups looked at one by one.
+    One aggregate without a shuffle reads the written copy: some rows, one length and weights above 0 are sound. Only
+    where lengths differ or a weight is not above 0 are the groups looked at one by one. (Metrics observed during the
+    write would save that read, but a session that has observed any can no longer serialise models of ``pyspark.ml``.)
     """
-    seen = Observation()
+    kept = cut_lineage(updates)
     width, weight = F.size("values"), F.col("weight").cast("double")
-    observed = updates.observe(
-        seen,
+    found = kept.agg(
         F.count(F.lit(1)).alias("rows"),
         F.min(width).alias("shortest"),
         F.max(width).alias("longest"),
         F.count_if(F.coalesce(weight > 0, F.lit(False))).alias("weighted"),
-    )
-    kept = cut_lineage(observed)
-    found = seen.get
+    ).first()
     if not found["rows"] or found["shortest"] != found["longest"] or found["weighted"] != found["rows"]:
         validate_updates(kept, keys)
     return kept
