@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import random
 import re
+from collections import Counter
 
 import pytest
 import regex
-import xxhash
 from llm_tables import CLASHES, no_documents, odd_documents, odd_rows, write_tables
 from pyspark.sql import functions as F
 
@@ -35,23 +36,43 @@ def edit_distance(a: str, b: str, most: int | None = None) -> int:
         for j in range(low, high):
             now[j + 1] = min(before[j] + (x != b[j]), before[j + 1] + 1, now[j] + 1, far)
         before = now
+        if min(now) > most:
+            return far
     return before[-1]
 
 
 # ---- lines
 
 
-def plain_lines(docs: list[tuple[int, str | None]]) -> dict:
-    norm = lambda line: " ".join(regex.findall(r"[\p{L}\p{N}]+", line.lower()))
+def normal(line: str) -> str:
+    return " ".join(regex.findall(r"[\p{L}\p{N}]+", line.lower()))
+
+
+@functools.lru_cache(None)
+def trigrams(line: str) -> frozenset:
+    return frozenset(line[i : i + 3] for i in range(len(line) - 2))
+
+
+def alike(a: str, b: str) -> bool:
+    most = 0.2 * max(len(a), len(b)) + 1e-9
+    if abs(len(a) - len(b)) > most:
+        return False
+    x, y = trigrams(a), trigrams(b)  # an edit takes away three of them at most
+    return len(x & y) >= max(len(x), len(y)) - 3 * most and edit_distance(a, b, int(most)) <= most
+
+
+def line_places(docs: list[tuple[int, str | None]]) -> dict[str, list]:
     places: dict[str, list] = {}
     for doc, text in sorted(docs, key=lambda d: d[0]):
         for i, line in enumerate((text or "").split("\n")):
-            if norm(line):
-                places.setdefault(norm(line), []).append((doc, i))
-    prints = {}
-    for line in places:
-        hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in line.split(" ")]
-        prints[line] = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+            if normal(line):
+                places.setdefault(normal(line), []).append((doc, i))
+    return places
+
+
+def plain_lines(docs: list[tuple[int, str | None]]) -> dict:
+    """By edit similarity of all pairs alone: no fingerprint."""
+    places = line_places(docs)
     root = {line: line for line in places}
 
     def find(x):
@@ -62,8 +83,7 @@ def plain_lines(docs: list[tuple[int, str | None]]) -> dict:
     names = list(places)
     for i, a in enumerate(names):
         for b in names[:i]:
-            most = 0.2 * max(len(a), len(b)) + 1e-9
-            if (prints[a] ^ prints[b]).bit_count() <= 3 and abs(len(a) - len(b)) <= most and edit_distance(a, b, int(most)) <= most:
+            if alike(a, b):
                 root[find(a)] = find(b)
     first: dict[str, tuple] = {}
     for line, at in places.items():
@@ -76,6 +96,16 @@ def plain_lines(docs: list[tuple[int, str | None]]) -> dict:
     }
 
 
+def line_groups(spark, docs: list[tuple[int, str | None]]) -> dict[str, object]:
+    """Group of each distinct normalised line, by the operator."""
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    source = line_dedup._source(frame, "doc_id", "text")
+    lines = line_dedup.written(line_dedup.fingerprinted(source), "lines")
+    group = {r.node: r.component for r in line_dedup.components(line_dedup.similar_lines(source, lines), "node", "lead").collect()}
+    at = {(r.doc_id, r.line_no): r.k1 for r in lines.collect()}
+    return {line: group.get(at[where[0]], at[where[0]]) for line, where in line_places(docs).items()}
+
+
 def lines_found(docs) -> dict:
     kept = line_dedup.dedup_lines(docs).collect()
     return {r.row.doc_id: (r.n_lines, r.n_removed, sha(r.row.text or "")) for r in kept}
@@ -102,27 +132,59 @@ def test_lines_equal_brute_force(spark):
     assert lines_found(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)) == plain_lines(docs)
 
 
-def test_lines_of_the_smallest_table_equal_brute_force(spark):
+def test_recall_on_the_given_lines(spark):
+    """Pairs of edit similarity 0.8 or more that end in one group, and no group without such a link."""
     docs = [(r.doc_id, r.text) for r in read_table(spark, SF, "documents").collect()]
-    found = {r.doc_id: (r.n_lines, r.n_removed, r.kept_sha256) for r in line_dedup.line_query(spark, SF).collect()}
-    assert found == plain_lines(docs)
-
-
-@pytest.mark.parametrize("blocks", [4, 5, 6, 7])
-def test_every_plan_of_blocks_finds_all_pairs(spark, monkeypatch, blocks):
-    rng = random.Random(blocks)
-    values = [rng.getrandbits(64) for _ in range(30)]
-    for _ in range(60):
-        value = rng.choice(values)
-        for _ in range(rng.randrange(5)):
-            value ^= 1 << rng.randrange(64)
-        values.append(value)
-    values = sorted({v - (1 << 64) if v >> 63 else v for v in values})
-    monkeypatch.setattr(line_dedup, "PLANS", ((1 << 62, blocks),))
-    frame = spark.createDataFrame([(v,) for v in values], "fp long")
-    got = [tuple(r) for r in line_dedup.close_fingerprints(frame, len(values)).collect()]
-    want = {(a, b) for a in values for b in values if a < b and ((a ^ b) % (1 << 64)).bit_count() <= 3}
-    assert len(got) == len(set(got)) and set(got) == want
+    group = line_groups(spark, docs)
+    names = [line for line in group if len(line) < 300]
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[:i] if alike(a, b)]
+    met = sum(group[a] == group[b] for a, b in pairs)
+    assert len(pairs) > 10 and met >= 0.9 * len(pairs)
+    linked = {line for pair in pairs for line in pair}
+    sizes = Counter(group[line] for line in names)
+    assert all(sizes[group[line]] == 1 for line in names if line not in linked)
+
+
+@pytest.mark.parametrize("n", [3, 9, 33, 97])
+def test_recall_after_changes(spark, n):
+    """One changed word of a short line, one in ten of a longer one, taken out or put in as often as replaced."""
+    rng = random.Random(n)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 9)))
+    docs, pairs = [], []
+    for i in range(40):
+        a = [word() for _ in range(n)]
+        b = list(a)
+        for _ in range(max(1, n // 10)):
+            at = rng.randrange(len(b))
+            b[at : at + rng.randrange(2)] = [word()] * rng.randrange(2)
+        docs += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b).upper())]
+        if alike(" ".join(a), " ".join(b)):
+            pairs.append((" ".join(a), " ".join(b)))
+    group = line_groups(spark, docs)
+    met = sum(group[a] == group[b] for a, b in pairs)
+    assert pairs and met >= 0.9 * len(pairs)
+
+
+def test_reordered_lines_and_groups_of_near_copies_meet_leaders_only(spark, monkeypatch):
+    """Orders of the same words share all blocks and are no near copies; checked pairs are counted."""
+    rng = random.Random(4)
+    words = [f"{c * 7}" for c in "abcdefghijkl"]
+    orders = {" ".join(rng.sample(words, len(words))) for _ in range(40)}
+    base = [f"n{rng.randrange(10**6)}" for _ in range(40)]
+    near = {" ".join(base[:k] + [f"m{rng.randrange(10**6)}"] + base[k + 1 :]) for k in list(range(40)) * 8}
+    checked = []
+    whole = line_dedup._verified
+
+    def counted(source, lines, pairs, similarity):
+        checked.append(pairs.count())
+        return whole(source, lines, pairs, similarity)
+
+    monkeypatch.setattr(line_dedup, "_verified", counted)
+    docs = list(enumerate([*near]))
+    group = line_groups(spark, docs)
+    assert len(set(group.values())) == 1 and sum(checked) <= 6 * len(near)
+    docs = list(enumerate([*orders]))
+    assert lines_found(spark.createDataFrame(docs, "doc_id long, text string")) == plain_lines(docs)
 
 
 def test_edit_similarity_equals_the_plain_one(spark):
