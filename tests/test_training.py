@@ -282,3 +282,19 @@ def test_many_states_are_scored_in_slices(spark, data, monkeypatch):
     frame = spark.createDataFrame(states, "scenario_id int, round int, weights array<double>")
     count = lambda small: sorted(map(tuple, learner.predictions(data[1], COLUMNS, materialize.Settled(frame, small)).collect()))
     assert len(count(True)) == 24 and count(False) == count(True)
+
+
+def test_many_states_are_scored_by_one_plan(spark):
+    """Plans do not grow with the blocks; counts of null, infinite and missing values are those of the broadcast."""
+    values = [None, float("nan"), float("inf"), 0.0, -1.5, 2.0]
+    rows = spark.createDataFrame([(a, b, y) for a in values for b in values for y in (0, 1, None)], "a double, b double, y int")
+    listed = [(i % 37, 1, [0.1 * i - 2.0, values[i % 6], 0.5]) for i in range(60)] + [(40, 1, None), (41, 2, [0.0, 0.0, 0.0])]
+    states = spark.createDataFrame(listed, "scenario_id int, round int, weights array<double>")
+    score = lambda held, **o: learners.LinearLearner().predictions(rows, COLUMNS, held, **o)
+    want = sorted(map(str, score(materialize.Settled(states, True)).collect()))
+    large = materialize.Settled(materialize.cut_lineage(states), False)
+    plans = [score(large, block_bytes=limit) for limit in (4096, 64)]
+    assert [sorted(map(str, plan.collect())) for plan in plans] == [want, want]
+    assert all(plan.dtypes == score(materialize.Settled(states, True)).dtypes for plan in plans)
+    sizes = [len(plan._jdf.queryExecution().optimizedPlan().toString().split("\n")) for plan in plans]
+    assert sizes[0] == sizes[1]
