@@ -62,6 +62,15 @@ def test_row_ids_of_copies(spark, copies_per_task):
     assert numbers == list(range(1, 168))
 
 
+@pytest.mark.parametrize("copies_per_task", [100_000, 50])
+def test_copies_are_written_out_by_many_tasks(spark, copies_per_task):
+    """A few distinct rows, however small, are not put into one task: 40 of 200 copies each."""
+    rows = spark.range(8000, numPartitions=3).select((F.col("id") % 40).alias("a"))
+    numbered = records.with_row_id(rows, copies_per_task).withColumn("task", F.spark_partition_id())
+    sizes = [r["count"] for r in numbered.groupBy("task").count().collect()]
+    assert sum(sizes) == 8000 and max(sizes) <= 1000
+
+
 def test_row_ids_tell_nulls_apart(spark):
     rows = spark.createDataFrame(
         [(5.0, None, "a", [None, 1]), (None, 5.0, "a", [None, 1]), (5.0, None, "a", [1, None])],

@@ -31,6 +31,8 @@ COMMA = ","
 WHITE_SPACE = "whitespace"
 QUOTED_COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
 COPIES_PER_TASK = 100_000
+# Tasks that copies are dealt to, by core.
+TASKS_PER_CORE = 32
 NESTED = (T.ArrayType, T.MapType, T.StructType)
 
 
@@ -155,7 +157,8 @@ def with_row_id(rows: DataFrame, copies_per_task: int = COPIES_PER_TASK) -> Data
     """Add a ``row_id`` that depends on the content only: a 128-bit hash of all columns and a copy number.
 
     Equal rows are interchangeable, so copies are counted by a partial aggregate and written out again by number.
-    A row with very many copies is written out in chunks that are spread over the tasks.
+    Rows with copies are written out in chunks that are dealt to a fixed number of tasks: by their bytes, which say
+    nothing about the copies, adaptive execution would put them all into one.
     """
     columns = rows.columns
     quoted = [F.col(f"`{name}`") for name in columns]
@@ -167,9 +170,10 @@ def with_row_id(rows: DataFrame, copies_per_task: int = COPIES_PER_TASK) -> Data
     high = F.hex(F.xxhash64(F.lit("row"), *content))
     hashed = counted.withColumn("_hash", F.concat(F.lpad(high, 16, "0"), F.lpad(low, 16, "0")))
     chunks = F.sequence(F.lit(0).cast("long"), F.floor((F.col("_copies") - 1) / copies_per_task))
-    few = hashed.where(F.col("_copies") <= copies_per_task).withColumn("_chunk", F.lit(0).cast("long"))
-    many = hashed.where(F.col("_copies") > copies_per_task).withColumn("_chunk", F.explode(chunks))
-    spread = few.unionByName(many.repartition("_hash", "_chunk"))
+    once = hashed.where("_copies = 1").withColumn("_chunk", F.lit(0).cast("long"))
+    many = hashed.where("_copies > 1").withColumn("_chunk", F.explode(chunks))
+    tasks = TASKS_PER_CORE * rows.sparkSession.sparkContext.defaultParallelism
+    spread = once.unionByName(many.repartition(tasks, "_hash", "_chunk"))
     first = F.col("_chunk") * copies_per_task + 1
     last = F.least(F.col("_copies"), (F.col("_chunk") + 1) * copies_per_task)
     numbered = spread.withColumn("_copy", F.explode(F.sequence(first, last)))
