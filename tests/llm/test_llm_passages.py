@@ -185,6 +185,25 @@ def test_reordered_lines_and_groups_of_near_copies_meet_leaders_only(spark, monk
     assert all((group[a] == group[b]) >= alike(a, b) for a in orders for b in orders)
 
 
+def test_links_of_members_that_have_a_leader(spark):
+    """Chains of changes: a line that is a near copy of a leader links others that are not."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    docs = []
+    for _ in range(40):
+        base = [word() for _ in range(40)]
+        for step in range(0, 36, 6):  # neighbours differ in 6 of 40 words, others in 12 or more
+            docs.append(" ".join([word() for _ in range(step)] + base[step:]) if step == 0 else " ".join(base))
+            base[step : step + 6] = [word() for _ in range(6)]
+    shuffled = list(enumerate(docs))
+    group = line_groups(spark, shuffled)
+    shared = lambda a, b: blocks[a] & blocks[b]
+    frame = spark.createDataFrame(shuffled, "doc_id long, text string")
+    blocks = {docs[r.doc_id]: set(r.blocks) for r in line_dedup.fingerprinted(line_dedup._source(frame, "doc_id", "text")).collect()}
+    linked = [(a, b) for i, a in enumerate(docs) for b in docs[:i] if shared(a, b) and alike(a, b)]
+    assert len(linked) > 100 and all(group[a] == group[b] for a, b in linked)
+
+
 def test_edit_similarity_equals_the_plain_one(spark):
     rng = random.Random(1)
     pairs = []
