@@ -78,20 +78,29 @@ def linked(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     With an even radius all fingerprints of a variant lie within the radius of each other, and links to the smallest
     one connect them. With an odd radius all pairs of a variant are checked; their number is bounded by the variants.
     """
+    if radius % 2:
+        return ball_pairs(fps, radius)
+    pairs = _met(fps, radius).select(F.col("_members")[0].alias("a"), F.explode(F.slice("_members", 2, 1 << 30)).alias("b"))
+    return pairs.distinct().where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
+
+
+def ball_pairs(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``(a, b)``, a < b: all pairs of distinct fingerprints ``fp`` within ``radius`` bits."""
+    pairs = _met(fps, radius).select(F.posexplode("_members").alias("_at", "a"), "_members").select(
+        "a", F.explode(F.expr("slice(_members, _at + 2, size(_members))")).alias("b")
+    )
+    return pairs.distinct().where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
+
+
+def _met(fps: DataFrame, radius: int) -> DataFrame:
+    """``(_variant, _members)``: fingerprints, in order, that share a variant within half the radius."""
     half = -(-radius // 2)
     masks = F.array(*[F.lit(mask) for mask in _flips(64, half)])
     ball = fps.select("fp", F.explode(masks).alias("_flip")).select(
         "fp", F.col("fp").bitwiseXOR(F.col("_flip")).alias("_variant")
     )
     met = ball.groupBy("_variant").agg(F.sort_array(F.collect_set("fp")).alias("_members"))
-    met = met.where(F.size("_members") > 1)
-    if radius % 2 == 0:
-        pairs = met.select(F.col("_members")[0].alias("a"), F.explode(F.slice("_members", 2, 1 << 30)).alias("b"))
-    else:
-        pairs = met.select(F.posexplode("_members").alias("_at", "a"), "_members").select(
-            "a", F.explode(F.expr("slice(_members, _at + 2, size(_members))")).alias("b")
-        )
-    return pairs.distinct().where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
+    return met.where(F.size("_members") > 1)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
