@@ -298,3 +298,35 @@ def test_many_states_are_scored_by_one_plan(spark):
     assert all(plan.dtypes == score(materialize.Settled(states, True)).dtypes for plan in plans)
     sizes = [len(plan._jdf.queryExecution().optimizedPlan().toString().split("\n")) for plan in plans]
     assert sizes[0] == sizes[1]
+
+
+def test_boxes_count_what_all_rows_give(spark):
+    """Trees of boxes give the counts of the broadcast, in several parts of rows, and read few of the rows."""
+    u = lambda tag, n: F.pmod(F.xxhash64(F.col("id"), F.lit(tag)), F.lit(n)) / float(n) - 0.5
+    rows = spark.range(6000).select(u("a", 10007).alias("a"), u("b", 5).alias("b"), (F.col("id") % 2).cast("int").alias("y")).repartition(3)
+    states = spark.range(300).select(
+        F.col("id").cast("int").alias("scenario_id"), F.lit(1).alias("round"), F.array(u("u", 997), u("v", 991), u("w", 97)).alias("weights")
+    )
+    score = lambda held: sorted(map(str, learners.LinearLearner().predictions(rows, COLUMNS, held).collect()))
+    want, large = score(materialize.Settled(states, True)), materialize.Settled(materialize.cut_lineage(states), False)
+    assert score(large) == want
+    old, learners.PART_BYTES = learners.PART_BYTES, 16_384  # six parts of rows
+    try:
+        assert score(large) == want
+    finally:
+        learners.PART_BYTES = old
+    rng = np.random.default_rng(5)
+    x, w = rng.normal(size=(2, 60_000)), rng.normal(size=(50, 3))
+    x[0, ::9000], x[1, 7] = np.inf, np.nan
+    w[3], w[4, 1], w[5] = 0.0, np.inf, [1e308, 1e308, -1e308]
+    boxes, read = learners._Boxes.of(x, np.ones(2)), []
+    summed = learners._summed
+    learners._summed = lambda terms: read.append(terms[0].shape) or summed(terms)
+    try:
+        found = boxes.ones(w[6:])
+    finally:
+        learners._summed = summed
+    with np.errstate(all="ignore"):
+        assert boxes.ones(w).tolist() == [int(np.sum(~(summed([v[0] * x[0], v[1] * x[1], v[2:]]) <= learners.HALF_BELOW))) for v in w]
+    assert found.tolist() == boxes.ones(w)[6:].tolist()
+    assert sum(np.prod(shape) for shape in read) < 0.2 * 60_000 * 44
