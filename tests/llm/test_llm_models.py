@@ -5,10 +5,11 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 from llm_tables import CLASHES, no_documents, odd_documents, odd_rows, write_tables
 
-from trustframe.llm import language_id, toxicity
+from trustframe.llm import common, language_id, toxicity
 from trustframe.llm.common import read_table
 
 SF = "/root/testdata/sf0.1"
@@ -135,3 +136,19 @@ def test_held_out_labels_change_no_model(spark):
     taught = lambda table: toxicity.fit(docs.where(~language_id.held_out()), table.where(~language_id.held_out()), max_rows=60)
     one, other = taught(labels), taught(flipped)
     assert one.keys == other.keys and one.beta.tolist() == other.beta.tolist()
+
+
+def test_scored_texts_go_to_the_tasks_once(spark, monkeypatch):
+    """A text is sent inside its row, not beside it again; slices of batches are cut by it."""
+    seen, map_slices = [], toxicity.map_slices
+    monkeypatch.setattr(toxicity, "map_slices", lambda df, *rest: seen.append(df.columns) or map_slices(df, *rest))
+    model = toxicity.ToxicityModel(("=idiot",), np.zeros(1 + toxicity.feature_count(1)), frozenset({0}))
+    model.beta[0], model.beta[-2] = -2.0, 4.0
+    docs = spark.createDataFrame([(1, "you idiot"), (2, None), (3, "fine")], "doc_id long, text string")
+    found = {r.row.doc_id: (r.row.text, r.predicted) for r in toxicity.score(docs, model).collect()}
+    assert seen == [["row"]]
+    assert found == {1: ("you idiot", 1), 2: (None, 0), 3: ("fine", 0)}
+    texts = ["aaaa", "bb", None, "c", "dddd"]
+    batch = pa.RecordBatch.from_pylist([{"row": {"id": i, "text": text}} for i, text in enumerate(texts)]).slice(1)
+    assert common.column_of(batch, "row.text").to_pylist() == texts[1:]
+    assert [common.column_of(part, "row.text").to_pylist() for part in common.sliced([batch], "row.text", 3)] == [["bb", None, "c"], ["dddd"]]

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from trustframe.llm.common import map_slices, read_table, whole_rows
+from trustframe.llm.common import column_of, map_slices, read_table, whole_rows
 from trustframe.llm.language_id import held_out
 
 # Common insults of four languages.
@@ -287,17 +287,17 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Toxicit
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """Each row as a struct ``row`` with its ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # some hundred stems and weights, whatever the corpus
-    rows = whole_rows(docs, F.col("row.text").alias("text"))
+    rows = whole_rows(docs)  # the text goes to the tasks once, inside its row
     schema = T.StructType([
         T.StructField("row", docs.schema), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())
     ])
 
     def run(part: pa.RecordBatch) -> dict:
         matcher = Matcher(shared.value.keys)
-        scores = [shared.value.score(text, matcher) for text in part.column(1).to_pylist()]
+        scores = [shared.value.score(text, matcher) for text in column_of(part, "row.text").to_pylist()]
         return {"row": part.column(0), "score": scores, "predicted": [int(s >= 0.5) for s in scores]}
 
-    return map_slices(rows, run, schema)
+    return map_slices(rows, run, schema, "row.text")
 
 
 def learn(spark, docs: DataFrame, sf_dir: str) -> ToxicityModel:
