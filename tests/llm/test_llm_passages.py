@@ -419,3 +419,23 @@ def test_pipeline_of_odd_tables(spark, tmp_path):
         rows = corpus_pipeline.run(spark, folder).collect()
         assert len({(r.doc_id, r.ids_sha256) for r in rows}) == len(rows)
         assert set(CLASHES) & set(docs.columns) == (set() if at else set(CLASHES))
+
+
+def test_later_rounds_search_only_groups_that_new_links_connect(spark, monkeypatch):
+    """Lines that only two words join take several rounds; what the first one connected is not searched again."""
+    copies = [f"w{i}a w{i}b w{i}c w{i}d w{i}e w{i}f w{i}g w{i}h w{i}i{end}" for i in range(30) for end in ("x", "y")]
+    # one block of unlike lines, and in it near copies that neither share another block nor both lead
+    unlike = [f"alpha beta {chr(97 + i) * 14}" for i in range(16)] + [f"alpha beta {chr(97 + i) * 13}z" for i in range(15)]
+    docs = spark.createDataFrame([(i, line) for i, line in enumerate(copies + unlike)], "doc_id long, text string")
+    sizes, components = [], line_dedup.components
+    monkeypatch.setattr(line_dedup, "components", lambda edges, a, b: sizes.append(edges.count()) or components(edges, a, b))
+    source = line_dedup._source(docs, "doc_id", "text")
+    lines = line_dedup.written(line_dedup.fingerprinted(source), "lines")
+    links = line_dedup.similar_lines(source, lines)
+    assert len(sizes) > 1 and sizes[0] >= 30 and sum(sizes[1:]) <= 2 * 15
+    groups = {r.node: r.component for r in components(links, "node", "lead").collect()}
+    node = {r.doc_id: r.k1 for r in lines.collect()}
+    at = len(copies)
+    assert all(groups[node[2 * i]] == groups[node[2 * i + 1]] for i in range(30))
+    assert all(groups[node[at + i]] == groups[node[at + 16 + i]] for i in range(15))
+    assert len(set(groups.values())) == 45
