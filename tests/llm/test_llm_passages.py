@@ -165,6 +165,45 @@ def test_recall_after_changes(spark):
         assert sum(group[a] == group[b] for a, b in some) >= 0.9 * len(some), n
 
 
+def test_recall_of_short_lines(spark):
+    """Typos in lines of one or two words of any length, changes of two words of few, and in one word of ten of long ones."""
+    rng = random.Random(13)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    docs, pairs = [], {}
+
+    def add(kind, a: str, b: str) -> None:
+        docs.extend([(len(docs), a), (len(docs) + 1, b.upper())])
+        assert alike(a, b)
+        pairs.setdefault(kind, []).append((a, b))
+
+    def typos(text: str, n: int) -> str:
+        for at in sorted(rng.sample(range(len(text)), n), reverse=True):
+            text = text[:at] + rng.choice(["", letters(1), text[at] + letters(1)]) + text[at + 1 :]
+        return text
+
+    for _ in range(12):
+        for n, edits in ((12, 2), (14, 2), (22, 2), (40, 3), (64, 5), (66, 1), (90, 6), (400, 24), (3000, 150)):
+            one = letters(n)
+            two = one[: n // 3] + " " + one[n // 3 + 1 :]
+            add(("letters", n), one, typos(one, edits))
+            add(("two words", n), two, typos(two[: n // 3], edits // 2) + " " + typos(two[n // 3 + 1 :], edits - edits // 2))
+        for n in (3, 5, 7):
+            words = [letters(7 if n > 3 else 6) for _ in range(n)]
+            changed = list(words)
+            for at in rng.sample(range(n), 2):  # a letter in two words
+                changed[at] = changed[at][:-1] + "z"
+            add(("two of", n), " ".join(words), " ".join(changed))
+        long = [letters(60) for _ in range(4)]
+        add("long words", " ".join(long), " ".join(typos(w, 2) for w in long))
+        words = [letters(6) for _ in range(100)]
+        changed = [letters(6) if at % 10 == 5 else w for at, w in enumerate(words)]
+        add("one word of ten", " ".join(words), " ".join(changed))
+    group = line_groups(spark, docs)
+    found = {kind: sum(group[normal(a)] == group[normal(b)] for a, b in some) / len(some) for kind, some in pairs.items()}
+    assert all(found[kind] == 1 for kind in found if kind[1] in (3, 5, 7, 12, 14, 22)), found
+    assert min(found.values()) >= 0.9, found
+
+
 def test_reordered_lines_and_groups_of_near_copies_meet_leaders_only(spark, monkeypatch):
     """Orders of the same words share all blocks and are no near copies; checked pairs are counted."""
     rng = random.Random(4)
