@@ -261,6 +261,28 @@ def test_edit_similarity_equals_the_plain_one(spark):
         assert (i in got) == (edit_distance(x, y) <= 0.2 * max(len(x), len(y)) + 1e-9), (x, y)
 
 
+def test_edit_similarity_of_long_lines_equals_the_plain_one(spark):
+    """Changes before, after or all over the line, shifts of its start, and lines that share a part only."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcd") for _ in range(rng.randrange(1, 8)))
+    pairs = []
+    for i in range(120):
+        a = [word() for _ in range(rng.choice([30, 60, 90]))]
+        part = int(len(a) * rng.choice([0.1, 0.18, 0.2, 0.22, 0.3, 0.6]))
+        other = [word() for _ in range(part)]
+        at = rng.randrange(len(a) - part)
+        changed = a[:at] + other + a[at + part :]
+        for spot in rng.sample(range(len(a)), part // 2):
+            changed[spot] = word()
+        b = [other + a[: len(a) - part], a[part:] + other, changed, other[: part // 2] + a, a[part // 2 :] + other][i % 5]
+        pairs.append((a, b))
+    rows = [(i, i, a, b) for i, (a, b) in enumerate(pairs)]
+    frame = spark.createDataFrame(rows, "a long, b long, words_a array<string>, words_b array<string>")
+    got = {r.a for r in line_dedup.edit_similar(frame).collect()}
+    want = {i for i, (a, b) in enumerate(pairs) if alike(" ".join(a), " ".join(b))}
+    assert got == want and 20 < len(want) < 100
+
+
 def test_lines_of_odd_tables(spark):
     docs = odd_documents(spark)
     kept = line_dedup.drop_repeated_lines(docs)
